@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, components, topn
+from panelforge.llm import bpe, components, forest, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# -- 3: most similar vectors
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = forest.nearest_vectors(read_table(spark, sf_dir, "questions"), "variable_name", "embedding", 64, 5)
+    return near.select(
+        F.least("name", "neighbor").alias("variable_name_a"), F.greatest("name", "neighbor").alias("variable_name_b")
+    ).distinct()
+
+
 # -- 4: top N items within every group
 
 TOP_SQL = """

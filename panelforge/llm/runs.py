@@ -1,0 +1,38 @@
+"""Contiguous runs of equal keys in the batches of a sorted partition."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+
+
+def key_runs(batches: Iterator[pd.DataFrame], keys: list[str], cap: int) -> Iterator[pd.DataFrame]:
+    """One frame per run of rows with equal keys; a run of over cap rows comes in several frames.
+
+    The batches must be sorted by keys. At most cap rows and one batch are held at a time.
+    """
+    held: list[pd.DataFrame] = []
+    size, last = 0, None
+    for batch in batches:
+        if batch.empty:
+            continue
+        marks = pd.MultiIndex.from_frame(batch[keys]) if len(keys) > 1 else pd.Index(batch[keys[0]])
+        codes = pd.factorize(marks)[0]
+        begins = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1]), len(codes)]
+        for lo, hi in zip(begins, begins[1:]):
+            part, key = batch.iloc[lo:hi], marks[lo]
+            if held and key != last:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+            last = key
+            while len(part):
+                room = cap - size
+                held.append(part.iloc[:room])
+                size += len(held[-1])
+                part = part.iloc[room:]
+                if size >= cap:
+                    yield pd.concat(held, ignore_index=True)
+                    held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
