@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, components, forest, topn
+from panelforge.llm import bpe, components, forest, leaks, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -112,3 +112,11 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+# -- 8: evaluation texts leaking into the corpus
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "heldout_items"))
