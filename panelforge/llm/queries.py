@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, components, forest, leaks, topn
+from panelforge.llm import bpe, components, forest, leaks, overlap, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -106,6 +106,34 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("variable_name", "component", "assigned_split").distinct()
 
 
+# -- 6: same or near-same records across splits
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.overlapping_records(read_table(spark, sf_dir, "questions"))
+    return pairs.select(
+        F.least("held_name", "corpus_name").alias("variable_name_a"),
+        F.greatest("held_name", "corpus_name").alias("variable_name_b"),
+    ).distinct()
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping records and pairs per split and thematic domain."""
+    questions = read_table(spark, sf_dir, "questions")
+    pairs = overlap.overlapping_records(questions)
+    sides = pairs.select(F.col("held_name").alias("variable_name"), F.lit("test").alias("split")).unionByName(
+        pairs.select(F.col("corpus_name").alias("variable_name"), F.lit("train").alias("split"))
+    )
+    domain = components.canonical_domain(F.col("thematic_domain")).alias("domain")
+    return (
+        sides.join(questions.select("variable_name", domain).distinct(), "variable_name")
+        .groupBy("split", "domain")
+        .agg(F.countDistinct("variable_name").alias("records"), F.count(F.lit(1)).alias("pairs"))
+    )
+
+
 # -- 7: token ids of the corpus
 
 
