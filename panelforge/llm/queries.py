@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, components, forest, leaks, overlap, topn
+from panelforge.llm import bpe, components, forest, leaks, overlap, residue, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -148,3 +148,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "heldout_items"))
+
+
+# -- 9: template residue and error pages
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.with_residue(read_table(spark, sf_dir, "documents"))
