@@ -1,0 +1,150 @@
+"""Common ways to word the usual survey answers, per entry, in English and French.
+
+Entries and phrases are folded words; any number in a phrase is written 0. The first phrase of a line is
+the entry, the others stand for it where a list offers that entry.
+"""
+
+from __future__ import annotations
+
+_LINES = """
+every day: daily; each and every day; all the time
+several times a week: a few times per week; 0 0x a week
+about once a month: monthly; monthly or so
+a few times a year: 0 or 0 times yearly; a few times yearly
+never: not ever; not once
+tous les jours: chaque jour; quotidiennement
+plusieurs fois par semaine: quelques fois par semaine
+environ une fois par mois: mensuellement
+quelques fois par annee: deux ou trois fois lan
+jamais: pas une seule fois
+yes: yeah; yep; yup; sure
+no: nope; nah
+undecided: have not made up my mind; not decided yet
+oui: ouais; mais oui
+non: nenni; que non
+indecis: pas encore decide; pas encore decidee; indecise
+bus or metro: public transit; the metro mostly; the bus mostly
+my own car: i drive my car; own vehicle; my car
+bicycle: by bike; cycling; i cycle
+on foot: walking; i walk
+carpool: shared ride with a neighbour; carpooling
+autobus ou metro: transport en commun; transports en commun
+ma propre voiture: mon auto; ma voiture
+velo: en bicyclette; en velo
+a pied: en marchant; je marche
+covoiturage: auto partagee avec un voisin
+nurse or care aide: registered nurse; care aide nights; nurse
+school teacher: teach grade 0; teacher primary school; teacher
+truck or bus driver: trucker; i drive a city bus; bus driver; truck driver
+software developer: programmer; web developer; sw dev
+electrician or plumber: licensed plumber; electrician apprentice; plumber; electrician
+retired: pensioner; retiree
+student: studying full time; college student
+infirmiere ou prepose aux soins: prepose aux beneficiaires; infirmiere; infirmier
+enseignant: enseignante de 0 e annee; enseignante de 0e annee; prof au primaire; enseignante
+conducteur de camion ou dautobus: camionneur; chauffeur dautobus
+developpeur de logiciels: programmeuse; programmeur; developpeuse web
+electricien ou plombier: apprenti electricien; plombiere; electricien; plombier
+a la retraite: retraitee; retraite; pensionne; pensionnee
+etudiant: aux etudes; etudiante au cegep; etudiante
+a great deal of trust: lots of trust
+quite a lot of trust: a fair amount of trust
+not very much trust: little trust
+no trust at all: zero trust; none whatsoever
+une grande confiance: beaucoup de confiance
+pas mal de confiance: assez de confiance
+pas beaucoup de confiance: peu de confiance
+aucune confiance: zero confiance
+northern accord: the accord northern one
+rural renewal party: rural renewal
+civic left: the left civic
+blue harbour alliance: blue harbor; blue harbour
+green terraces movement: the terraces people
+i would spoil my ballot: spoilt ballot; spoiled ballot
+accord du nord: laccord nordique
+parti du renouveau rural: renouveau rural
+gauche civique: la gauche la civique
+alliance du havre bleu: havre bleu
+mouvement des terrasses vertes: terrasses vertes; mtv terrasses
+jannulerais mon bulletin: bulletin annule
+spend much more: a lot more spending
+spend about the same: keep spending where it is
+spend much less: a lot less spending; cut it deeply
+depenser beaucoup plus: bien plus de depenses
+depenser a peu pres autant: garder le meme niveau
+depenser beaucoup moins: bien moins de depenses
+radio nordavia: nordavia on the radio
+the lantern post: lantern post app; lantern post; tlp lantern post
+channel quay five: quay 0 news; quay five news
+harbour weekly: the harbour weekly paper
+social networks: my social feeds; social media
+la poste lanterne: poste lanterne
+canal quai cinq: canal quai 0
+lhebdo du havre: hebdo du havre
+reseaux sociaux: les res sociaux
+strongly agree: totally agree; i agree 0; completely agree; i agree completely
+somewhat agree: i agree to some extent; i agree a little
+neither agree nor disagree: neutral; in the middle
+somewhat disagree: i disagree a little; i disagree to some extent
+strongly disagree: totally disagree; i disagree completely; completely disagree
+tout a fait daccord: completement daccord; 0 daccord
+plutot daccord: assez daccord; un peu daccord
+ni daccord ni en desaccord: neutre; entre les deux
+plutot en desaccord: un peu en desaccord
+tout a fait en desaccord: completement en desaccord
+the municipal council: city hall; municipality; the city; the municipality
+the regional board: the region
+the provincial government: the province
+the federal government: the feds
+le conseil municipal: la ville; lhotel de ville
+la regie regionale: la region
+le gouvernement provincial: la province
+le gouvernement federal: le federal
+gotten better: its better now; it is better now; improved
+stayed about the same: unchanged; no change
+gotten worse: it is worse now; its worse now; deteriorated
+sest amelioree: ca va mieux
+est restee a peu pres pareille: aucun changement
+sest deterioree: ca va plus mal
+certain to vote: i will vote for sure
+likely to vote: ill probably vote
+unlikely to vote: i probably wont vote
+already voted in advance: voted at the advance poll
+certain de voter: je vais voter cest sur
+susceptible de voter: je vais probablement voter
+peu susceptible de voter: je ne voterai probablement pas
+deja vote par anticipation: jai vote davance
+very satisfied: extremely happy with it; v satisfied
+fairly satisfied: reasonably satisfied
+not very satisfied: not that satisfied
+not at all satisfied: zero satisfaction; satisfied not at all
+tres satisfait: vraiment content; extremement satisfaite; tres satisfaite
+assez satisfait: plutot satisfaite; plutot satisfait
+peu satisfait: pas tellement satisfait; pas tellement satisfaite; pas tres satisfait; pas tres satisfaite
+pas du tout satisfait: aucune satisfaction; insatisfait total
+extremely important: of the utmost importance
+moderately important: fairly important mid level
+slightly important: of small importance
+not important at all: unimportant
+extremement important: dune importance extreme
+moyennement important: dimportance moyenne
+legerement important: de faible importance
+pas du tout important: sans importance
+dont know prefer not to say: dont know; dunno; i really do not know; i do not know; prefer not to say; no idea
+je ne sais pas prefere ne pas dire: je sais pas; je ne sais pas; jsais pas trop; aucune idee; prefere ne pas dire
+"""
+
+
+def _read() -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for line in _LINES.strip().splitlines():
+        entry, phrases = line.split(": ")
+        for phrase in phrases.split("; "):
+            found.setdefault(phrase, []).append(entry)
+    return found
+
+
+#: Entries by phrase.
+ALIASES = _read()
+#: Words without weight where an answer is abbreviated.
+ARTICLES = {"the", "a", "an", "le", "la", "les", "l", "de", "du", "des", "d", "of", "or", "ou", "to"}

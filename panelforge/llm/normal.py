@@ -53,3 +53,20 @@ def word_hash(word: str) -> int:
 def deletions(word: str) -> set[str]:
     """The word and every form of it with one character less."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+class Memo:
+    """A function that remembers its last results; travels to Python workers without them."""
+
+    def __init__(self, f, cap: int = 4096):
+        self.f, self.cap, self.kept = f, cap, {}
+
+    def __call__(self, *args):
+        if args not in self.kept:
+            if len(self.kept) >= self.cap:
+                self.kept.clear()
+            self.kept[args] = self.f(*args)
+        return self.kept[args]
+
+    def __getstate__(self):
+        return {"f": self.f, "cap": self.cap, "kept": {}}

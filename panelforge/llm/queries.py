@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, components, forest, leaks, overlap, residue, topn
+from panelforge.llm import bpe, canonical, components, forest, leaks, overlap, residue, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# -- 1: typed answers to entries of their list
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_to_entries(
+        read_table(spark, sf_dir, "condition2_samples"), read_table(spark, sf_dir, "questions")
+    )
+
+
 # -- 3: most similar vectors
 
 
