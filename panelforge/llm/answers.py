@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from panelforge.llm.normal import Memo, fold, words
+from panelforge.llm.normal import Memo, damerau, fold, words
 
 _CODE_HEAD = re.compile(r"^\s*(\d+)\s*[:.)\]-]\s*(?=[^\s\d])")
 _CODE_TAIL = re.compile(r"\s*[(\[](\d+)[)\]]\s*$")
@@ -127,23 +127,30 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
 
 
 def copied(text: str, sources: tuple[str | None, ...]) -> bool:
-    """True if a text of four words or more only repeats label or question, wholly or in part.
+    """True if a text only repeats label or question, wholly or, from three words on, in part.
 
     Folded words are compared; a lead `Question:` and a few misspelt words do not matter.
     """
     ws = words(text)
-    if ws[:1] == ["question"]:
+    if len(ws) > 1 and damerau(ws[0], "question", 2) <= 2:
         ws = ws[1:]
+    own = " ".join(ws)
+    if ws and any(own == " ".join(words(s)) for s in sources):
+        return True
     if len(ws) < 3:
         return False
-    own = " ".join(ws)
     joined = " ".join(w for s in sources for w in words(s))
     for s in (*sources, None):
         there = " ".join(words(s)) if s is not None else joined
         if there and (f" {own} " in f" {there} " or there.startswith(own)):
             return True
-    known = set(joined.split())
-    grams = {tuple(joined.split()[i : i + 2]) for i in range(len(joined.split()) - 1)}
+    there = joined.split()
+    known = set(there)
     share = sum(w in known for w in ws) / len(ws)
-    pairs = sum(g in grams for g in zip(ws, ws[1:])) / max(1, len(ws) - 1)
-    return len(ws) >= 6 and share >= 0.8 and pairs >= 0.6
+    if len(ws) < 4 or share < 0.5:
+        return False
+    near = [w if w in known else next((k for k in sorted(known) if damerau(w, k, 2) <= min(2, len(k) // 3)), w) for w in ws]
+    grams = set(zip(there, there[1:]))
+    share = sum(w in known for w in near) / len(ws)
+    pairs = sum(g in grams for g in zip(near, near[1:])) / (len(ws) - 1)
+    return share >= 0.85 and pairs >= 0.6

@@ -39,7 +39,7 @@ truck or bus driver: trucker; i drive a city bus; bus driver; truck driver
 software developer: programmer; web developer; sw dev
 electrician or plumber: licensed plumber; electrician apprentice; plumber; electrician
 retired: pensioner; retiree
-student: studying full time; college student
+student: studying full time; college student; university student; undergrad
 infirmiere ou prepose aux soins: prepose aux beneficiaires; infirmiere; infirmier
 enseignant: enseignante de 0 e annee; enseignante de 0e annee; prof au primaire; enseignante
 conducteur de camion ou dautobus: camionneur; chauffeur dautobus

@@ -23,9 +23,9 @@ class Sparse:
         lengths = np.array([len(r) + 1 for r in kept])
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        self.index = np.concatenate([np.append(r, self.size - 1) for r in kept]) if kept else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(kept)), lengths)
-        self.value = np.repeat(1 / np.sqrt(lengths), lengths) if kept else np.zeros(0)
+        self.index = np.concatenate([np.append(r, self.size - 1) for r in kept]).astype("i4") if kept else np.zeros(0, "i4")
+        self.row = np.repeat(np.arange(len(kept), dtype="i4"), lengths)
+        self.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths) if kept else np.zeros(0, "f4")
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights[self.index] * self.value, self.starts) if len(self.starts) else np.zeros(0)

@@ -55,6 +55,29 @@ def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def damerau(a: str, b: str, k: int) -> int:
+    """Edits (with swaps of neighbours) from a to b, or k + 1 if more than k are needed; banded."""
+    if abs(len(a) - len(b)) > k:
+        return k + 1
+    far = k + 1
+    older: dict[int, int] = {}
+    last = {j: j for j in range(min(len(b), k) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            best = last.get(j, far) + 1
+            if j:
+                y = b[j - 1]
+                best = min(best, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, older.get(j - 2, far) + 1)
+            row[j] = best
+        if min(row.values()) > k:
+            return far
+        older, last = last, row
+    return min(far, last.get(len(b), far))
+
+
 class Memo:
     """A function that remembers its last results; travels to Python workers without them."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, canonical, components, forest, leaks, overlap, residue, topn
+from panelforge.llm import bpe, canonical, components, defects, forest, leaks, overlap, residue, topn
 from panelforge.session import read_table
 
 QUERIES: dict = {}
@@ -34,6 +34,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- 2: broken question and response pairs
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("condition1_samples", "condition2_samples")
+    return defects.broken_pairs({n: read_table(spark, sf_dir, n) for n in names}, read_table(spark, sf_dir, "questions"))
+
+
 # -- 3: most similar vectors
 
 
