@@ -89,6 +89,9 @@ def without_code(text: str) -> tuple[str, int | None]:
     return text, None
 
 
+_CARRIERS = [tuple(c.split("{}")) for c in CARRIERS]
+
+
 def readings(text: str) -> list[tuple[list[str], bool]]:
     """Ways to read a response as words of an answer, each with whether something was left off its end.
 
@@ -100,8 +103,7 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
     base, _ = without_code(base)
     out = [(words(base), False)]
     plain = " ".join(out[0][0])
-    for carrier in CARRIERS:
-        head, tail = carrier.split("{}")
+    for head, tail in _CARRIERS:
         if plain.startswith(head) and plain.endswith(tail) and len(plain) > len(head) + len(tail):
             out.append((plain[len(head) : len(plain) - len(tail) if tail else None].split(), False))
     for mark in (": ", " : ", "= ", "? "):
@@ -114,8 +116,7 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
     # a carrier may stand before an explanation
     for ws, _ in list(out[1:]):
         line = " ".join(ws)
-        for carrier in CARRIERS:
-            head, tail = carrier.split("{}")
+        for head, tail in _CARRIERS:
             if head and not tail and line.startswith(head):
                 out.append((line[len(head) :].split(), True))
     seen, kept = set(), []
@@ -126,31 +127,41 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
     return kept
 
 
-def copied(text: str, sources: tuple[str | None, ...]) -> bool:
-    """True if a text only repeats label or question, wholly or, from three words on, in part.
+class Sources:
+    """Label and question of one question, as folded words."""
+
+    def __init__(self, *texts: str | None):
+        self.texts = [" ".join(words(t)) for t in texts]
+        there = " ".join(t for t in self.texts if t).split()
+        self.padded = [f" {t} " for t in (*self.texts, " ".join(there)) if t]
+        self.known = set(there)
+        self.grams = set(zip(there, there[1:]))
+
 
-    Folded words are compared; a lead `Question:` and a few misspelt words do not matter.
+sources_of = Memo(Sources, 2048)
+
+
+def copied(ws: list[str], s: Sources) -> bool:
+    """True if the words of a response only repeat label or question, wholly or, from three words on, in part.
+
+    A lead `Question:` and a few misspelt words do not matter.
     """
-    ws = words(text)
-    if len(ws) > 1 and damerau(ws[0], "question", 2) <= 2:
+    if len(ws) > 1 and abs(len(ws[0]) - 8) <= 2 and damerau(ws[0], "question", 2) <= 2:
         ws = ws[1:]
     own = " ".join(ws)
-    if ws and any(own == " ".join(words(s)) for s in sources):
+    if ws and own in s.texts:
         return True
     if len(ws) < 3:
         return False
-    joined = " ".join(w for s in sources for w in words(s))
-    for s in (*sources, None):
-        there = " ".join(words(s)) if s is not None else joined
-        if there and (f" {own} " in f" {there} " or there.startswith(own)):
-            return True
-    there = joined.split()
-    known = set(there)
-    share = sum(w in known for w in ws) / len(ws)
-    if len(ws) < 4 or share < 0.5:
+    if any(f" {own} " in t or t.startswith(f" {own}") for t in s.padded):
+        return True
+    share = sum(w in s.known for w in ws) / len(ws)
+    pairs = sum(g in s.grams for g in zip(ws, ws[1:])) / (len(ws) - 1)
+    if len(ws) < 4 or share < 0.5 or pairs < 0.25:
         return False
-    near = [w if w in known else next((k for k in sorted(known) if damerau(w, k, 2) <= min(2, len(k) // 3)), w) for w in ws]
-    grams = set(zip(there, there[1:]))
-    share = sum(w in known for w in near) / len(ws)
-    pairs = sum(g in grams for g in zip(near, near[1:])) / (len(ws) - 1)
+    if share < 1:
+        known = sorted(s.known)
+        ws = [w if w in s.known else next((k for k in known if damerau(w, k, 2) <= min(2, len(k) // 3)), w) for w in ws]
+        share = sum(w in s.known for w in ws) / len(ws)
+    pairs = sum(g in s.grams for g in zip(ws, ws[1:])) / (len(ws) - 1)
     return share >= 0.85 and pairs >= 0.6

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import seeds
-from panelforge.llm.answers import REFUSAL, bare, bare_code, copied, is_empty, parse_list, readings
+from panelforge.llm.answers import REFUSAL, Sources, bare, bare_code, copied, is_empty, parse_list, readings
 from panelforge.llm.canonical import Entries, abbreviated, aliases, misspelt
 from panelforge.llm.linear import Sparse, best_threshold, fit, place
 from panelforge.llm.normal import Memo, words
@@ -27,21 +27,28 @@ class Question:
 
     def __init__(self, options, options_fr, label, asked, label_fr, asked_fr):
         self.lists = {"EN": Entries((parse_list(options),)), "FR": Entries((parse_list(options_fr),))}
-        self.texts = {"EN": (label, asked), "FR": (label_fr, asked_fr)}
-        own = {k: {w for t in v for w in words(t)} for k, v in self.texts.items()}
+        self.sources = {"EN": Sources(label, asked), "FR": Sources(label_fr, asked_fr)}
+        own = {k: s.known for k, s in self.sources.items()}
         self.known = own
+        self.judged: dict[tuple[str | None, str], str] = {}
         self.shared = (own["EN"] & own["FR"]) | ({w for _, e in self.lists["EN"].entries for w in e} & {w for _, e in self.lists["FR"].entries for w in e})
 
 
 question_of = Memo(Question, 2048)
 
 
+def plainly(ws: list[str], e: Entries) -> bool:
+    """True if the words are an entry or a known wording of one."""
+    return "".join(ws) in e.exact or any(a in e.exact for a in aliases(ws))
+
+
 def names_entry(ws: list[str], e: Entries) -> bool:
-    text = "".join(ws)
-    if text in e.exact or any(a in e.exact for a in aliases(ws)):
+    """True if the words are an entry, a known wording, a misspelling or an abbreviation of one."""
+    if plainly(ws, e):
         return True
     if len(ws) >= 12:
         return False
+    text = "".join(ws)
     begun = any(t.startswith(text) for _, t in e.text)
     return misspelt(text, e) is not None or (not begun and abbreviated(ws, e) is not None)
 
@@ -58,9 +65,11 @@ def features(response: str | None, language: str, q: Question) -> list[int]:
     ways = readings(text)
     own, foreign = q.lists[language], q.lists[other]
     code = bare_code(bare(text)) is not None or bare_code(text) is not None
-    hit_own = any(names_entry(w, own) for w, _ in ways)
-    hit_other = any(names_entry(w, foreign) for w, _ in ways)
-    whole = any(names_entry(w, e) for w, cut in ways if not cut for e in (own, foreign))
+    # a plain hit spares the search for misspelt ones
+    test = plainly if any(plainly(w, e) for w, _ in ways for e in (own, foreign)) else names_entry
+    hits = [(test(w, own), test(w, foreign), cut) for w, cut in ways]
+    hit_own, hit_other = any(a for a, _, _ in hits), any(b for _, b, _ in hits)
+    whole = any((a or b) and not cut for a, b, cut in hits)
     closed = text.rstrip("\"'»” )*_")[-1:] in ".!?…"
     if code:
         strong("code")
@@ -76,7 +85,7 @@ def features(response: str | None, language: str, q: Question) -> list[int]:
                 strong(f"begins:{name}")
     if (hit_own or hit_other) and not whole:
         strong(f"entry:more:{closed}")
-    copies = copied(text, q.texts["EN"]) or copied(text, q.texts["FR"])
+    copies = copied(ws, q.sources["EN"]) or copied(ws, q.sources["FR"])
     if copies:
         strong(f"copy:{whole or hit_own or hit_other}")
     if ws:
@@ -229,8 +238,9 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
     has French options, else in English. NULL responses are empty; exact repeats count once, and of
     several responses to one key the first by time and text stands. A question that is not in the table of
     questions is judged without list and texts. Each key gets at most one type. Only the training sample,
-    of at most sample_questions questions, goes to the driver; the weights (5 MB) are broadcast. Every
-    distinct pair of question and response is scored once and joined back.
+    of at most sample_questions questions, goes to the driver; the weights (5 MB) are broadcast. The join
+    brings the rows of a question together, so a response that repeats is scored once per task; a hot
+    question is split by the adaptive join.
     """
     rows = None
     for name, df in tables.items():
@@ -250,7 +260,6 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
             ).alias("x")
         )
         .select("sample_table", "question", "sample_idx", "x.*")
-        .withColumn("unit", F.md5(F.concat_ws("\u0001", "question", F.col("french").cast("string"), F.coalesce("response", F.lit("")))))
     )
     asked = questions.select(
         F.col("variable_name").alias("question"), "options", "options_fr", "label", F.col("question").alias("asked"),
@@ -262,16 +271,24 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, cuts = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                b = batch.iloc[at : at + 2000]
-                x = []
+            for at in range(0, len(batch), 4000):
+                b = batch.iloc[at : at + 4000]
+                pairs, x, fresh = [], [], []
                 for r in b.itertuples():
-                    french = r.french and bool((r.options_fr or "").strip())
                     q = question_of(r.options, r.options_fr, r.label, r.asked, r.label_fr, r.asked_fr)
-                    x.append(features(r.response, "FR" if french else "EN", q))
+                    key = (r.response, "FR" if r.french and (r.options_fr or "").strip() else "EN")
+                    pairs.append((q, key))
+                    if key not in q.judged:
+                        q.judged[key] = ""
+                        fresh.append((q, key))
+                        x.append(features(*key, q))
                 if x:
-                    yield pd.DataFrame({"unit": b["unit"], "defect_type": classify(x, weights, cuts)})
-
-    units = keys.select("unit", "question", "french", "response").dropDuplicates(["unit"]).join(asked, "question", "left")
-    judged = spread(units).mapInPandas(judge, "unit string, defect_type string").where("defect_type <> ''")
-    return keys.join(judged, "unit").select("sample_table", "question", "sample_idx", "defect_type")
+                    for (q, key), kind in zip(fresh, classify(x, weights, cuts)):
+                        q.judged[key] = kind
+                out = b[["sample_table", "question", "sample_idx"]].assign(defect_type=[q.judged[k] for q, k in pairs])
+                yield out[out["defect_type"] != ""]
+
+    kinds = dict(keys.dtypes)
+    return spread(keys.join(asked, "question", "left")).mapInPandas(
+        judge, f"sample_table string, question string, sample_idx {kinds['sample_idx']}, defect_type string"
+    )

@@ -10,6 +10,7 @@ _BROKEN = re.compile("[Â-Å][\u0080-¿Œ-ž–-™]|â[€\u0080][\u0080-¿Œ-
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _APOSTROPHE = re.compile("['’‘ʼ`´]")
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 
 
 def _repair_one(m: re.Match) -> str:
@@ -34,7 +35,7 @@ def fold(text: str) -> str:
     """Lower case without accents, compatibility forms, invisible characters or mojibake."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", repair(text)))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", text)
         text = text.replace("œ", "oe").replace("æ", "ae")
     return text.lower()
 
