@@ -10,6 +10,7 @@ from panelforge.functions.options import bulleted, choices_line, options_kept, o
 from panelforge.functions.text import normalize_text, normalize_value, parent_var, pick_lang, pick_raw
 from panelforge.operators.lookup import localise
 from panelforge.operators.sampling import row_index, shuffled_positions
+from panelforge.session import cut
 
 # Profile fields with their English and French captions, in order.
 PROFILE_FIELDS = [
@@ -108,9 +109,12 @@ def input_text(profile: Column, context: Column, target: Column, french: Column,
 
 
 def prompted(rendered: DataFrame, groups: DataFrame) -> DataFrame:
-    """rendered answers with the group's prompt and choices in the respondent's language, and the context line."""
+    """rendered answers with the group's prompt and choices in the respondent's language, and the context line.
+
+    Written once to the checkpoint folder: contexts, counts and targets all read it.
+    """
     fr = F.col("is_french")
-    return (
+    return cut(
         rendered.join(groups, "parent_key")
         .withColumn("prompt", F.when(fr, F.col("prompt_fr")).otherwise(F.col("prompt_en")))
         .withColumn("choices", F.when(fr, F.col("options_fr")).otherwise(F.col("options_en")))
