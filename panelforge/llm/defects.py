@@ -19,19 +19,33 @@ from panelforge.session import spread
 
 #: In the order in which they win when their margins are equal.
 TYPES = ["empty", "refusal", "question_copy", "truncated", "other_language"]
+RANK = {t: i for i, t in enumerate([*TYPES, ""])}
 QUESTION_COLUMNS = ["options", "options_fr", "label", "asked", "label_fr", "asked_fr"]
 
 
+class Lists:
+    """The option lists of a question in both languages; many questions share them."""
+
+    def __init__(self, options: str | None, options_fr: str | None):
+        self.of = {"EN": Entries((parse_list(options),)), "FR": Entries((parse_list(options_fr),))}
+        en, fr = ({w for _, e in x.entries for w in e} for x in self.of.values())
+        self.shared = en & fr
+        #: types of responses that can be told from the lists alone
+        self.judged: dict[tuple[str | None, str], str] = {}
+
+
+lists_of = Memo(Lists, 4096)
+
+
 class Question:
     """What the features of a pair need of its question."""
 
     def __init__(self, options, options_fr, label, asked, label_fr, asked_fr):
-        self.lists = {"EN": Entries((parse_list(options),)), "FR": Entries((parse_list(options_fr),))}
+        self.lists = lists_of(options, options_fr)
         self.sources = {"EN": Sources(label, asked), "FR": Sources(label_fr, asked_fr)}
-        own = {k: s.known for k, s in self.sources.items()}
-        self.known = own
+        self.known = {k: s.known for k, s in self.sources.items()}
+        self.shared = (self.known["EN"] & self.known["FR"]) | self.lists.shared
         self.judged: dict[tuple[str | None, str], str] = {}
-        self.shared = (own["EN"] & own["FR"]) | ({w for _, e in self.lists["EN"].entries for w in e} & {w for _, e in self.lists["FR"].entries for w in e})
 
 
 question_of = Memo(Question, 2048)
@@ -53,20 +67,35 @@ def names_entry(ws: list[str], e: Entries) -> bool:
     return misspelt(text, e) is not None or (not begun and abbreviated(ws, e) is not None)
 
 
-def features(response: str | None, language: str, q: Question) -> list[int]:
-    """Hashed n-grams of the response, most of them together with the pair's language, and pair features."""
+def _word_features(word: str, language: str) -> list[int]:
+    pad = f"^{word}$"
+    found = [f"{language}|{word}", f"w|{word}", *(f"{language}|{pad[i:i + 3]}" for i in range(len(pad) - 2))]
+    return [place(f) for f in found]
+
+
+word_features = Memo(_word_features, 100_000)
+
+
+def features(response: str | None, language: str, q: Question) -> tuple[list[int], bool]:
+    """Hashed n-grams of the response, most of them together with the pair's language, and pair features.
+
+    The flag tells whether they come from the response and the lists alone: so for empty responses and for
+    those of up to five words that are plainly an entry.
+    """
     if is_empty(response):
-        return [place(f"empty:{j}") for j in range(6)]
+        return [place(f"empty:{j}") for j in range(6)], True
     other = "FR" if language == "EN" else "EN"
     out: list[str] = []
     strong = lambda name: out.extend(f"{name}#{j}" for j in range(5))
     text = response.strip()
     ws = words(text)
     ways = readings(text)
-    own, foreign = q.lists[language], q.lists[other]
+    own, foreign = q.lists.of[language], q.lists.of[other]
     code = bare_code(bare(text)) is not None or bare_code(text) is not None
     # a plain hit spares the search for misspelt ones
-    test = plainly if any(plainly(w, e) for w, _ in ways for e in (own, foreign)) else names_entry
+    plain_hit = any(plainly(w, e) for w, _ in ways for e in (own, foreign))
+    test = plainly if plain_hit else names_entry
+    alone = plain_hit and len(ws) < 6
     hits = [(test(w, own), test(w, foreign), cut) for w, cut in ways]
     hit_own, hit_other = any(a for a, _, _ in hits), any(b for _, b, _ in hits)
     whole = any((a or b) and not cut for a, b, cut in hits)
@@ -85,10 +114,10 @@ def features(response: str | None, language: str, q: Question) -> list[int]:
                 strong(f"begins:{name}")
     if (hit_own or hit_other) and not whole:
         strong(f"entry:more:{closed}")
-    copies = copied(ws, q.sources["EN"]) or copied(ws, q.sources["FR"])
+    copies = not alone and (copied(ws, q.sources["EN"]) or copied(ws, q.sources["FR"]))
     if copies:
         strong(f"copy:{whole or hit_own or hit_other}")
-    if ws:
+    if ws and not alone:
         share = sum(w in q.known["EN"] or w in q.known["FR"] for w in ws) / len(ws)
         out.append(f"share:{int(share * 5)}:{min(len(ws), 8) // 4}")
     if REFUSAL.search(" ".join(ws)):
@@ -97,11 +126,9 @@ def features(response: str | None, language: str, q: Question) -> list[int]:
     out += [f"closed:{closed}:{size}", f"size:{size}"]
     if not closed and len(ws) >= 6 and not hit_own and not hit_other and not copies:
         strong("open")
-    plain = [w for w in ws if w not in q.shared and not w.isdigit()]
-    for w in plain:
-        out += [f"{language}|{w}", f"w|{w}"]
-        pad = f"^{w}$"
-        out += [f"{language}|{pad[i:i + 3]}" for i in range(len(pad) - 2)]
+    shared = q.lists.shared if alone else q.shared
+    plain = [w for w in ws if w not in shared and not w.isdigit()]
+    placed = [x for w in plain for x in word_features(w, language)]
     out += [f"b|{a} {b}" for a, b in zip(ws, ws[1:])]
     out += [f"{language}|{a} {b}" for a, b in zip(plain, plain[1:])]
     if ws and len(ws) >= 5:
@@ -109,7 +136,7 @@ def features(response: str | None, language: str, q: Question) -> list[int]:
     if not text.isascii():
         marks = {c for c in text if ord(c) > 127}
         out += [f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}" for c in marks]
-    return [place(f) for f in out]
+    return placed + [place(f) for f in out], alone
 
 
 def misspell(rng: random.Random, text: str) -> str:
@@ -189,7 +216,7 @@ def made_pairs(row: dict, language: str, rng: random.Random) -> list[tuple[str,
     return out
 
 
-def train(questions: DataFrame, sample_questions: int = 200, seed: int = 3) -> dict:
+def train(questions: DataFrame, sample_questions: int = 120, seed: int = 3) -> dict:
     """Weights (one row per type) and calibrated cuts, from at most sample_questions questions.
 
     Examples are made from the questions themselves and the seed sentences: answers truncated, copied,
@@ -207,7 +234,7 @@ def train(questions: DataFrame, sample_questions: int = 200, seed: int = 3) -> d
             if language == "FR" and not (r["options_fr"] or "").strip():
                 continue
             for response, kind in made_pairs(r, language, rng):
-                x.append(features(response, language, q))
+                x.append(features(response, language, q)[0])
                 y.append(kind)
                 held.append(place("held" + r["question"]) % 5 == 0)
     held, y = np.array(held, bool), np.array(y)
@@ -231,36 +258,26 @@ def classify(x: list[list[int]], weights: np.ndarray, cuts: np.ndarray) -> list[
     return [TYPES[b] if m > 0 else "" for b, m in zip(best, margins.max(1))]
 
 
-def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_questions: int = 200) -> DataFrame:
+def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_questions: int = 120) -> DataFrame:
     """sample_table, question, sample_idx, defect_type of every defective pair of the named sample tables.
 
     A table with a survey_language column is judged in French where that begins with FR and the question
-    has French options, else in English. NULL responses are empty; exact repeats count once, and of
-    several responses to one key the first by time and text stands. A question that is not in the table of
-    questions is judged without list and texts. Each key gets at most one type. Only the training sample,
-    of at most sample_questions questions, goes to the driver; the weights (5 MB) are broadcast. The join
-    brings the rows of a question together, so a response that repeats is scored once per task; a hot
-    question is split by the adaptive join.
+    has French options, else in English. NULL responses are empty. Exact repeats give one row; if a key has
+    several responses of different types, the first in the order of TYPES stands. A question that is not
+    in the table of questions is judged without list and texts. Each key gets at most one type. Only the
+    training sample, of at most sample_questions questions, goes to the driver; the weights (5 MB) are
+    broadcast. One shuffle brings the rows of a question together with it, so a response that repeats is
+    scored once per task; a hot question is split by the adaptive join. Only defective rows go on.
     """
     rows = None
     for name, df in tables.items():
         language = F.upper(F.col("survey_language")).startswith("FR") if "survey_language" in df.columns else F.lit(False)
         part = df.select(
             F.lit(name).alias("sample_table"), "question", "sample_idx", F.coalesce(language, F.lit(False)).alias("french"),
-            "simulated_response", "collected_at",
+            F.col("simulated_response").alias("response"),
         )
         rows = part if rows is None else rows.unionByName(part)
-    keys = (
-        rows.where("question is not null and sample_idx is not null")
-        .groupBy("sample_table", "question", "sample_idx")
-        .agg(
-            F.min_by(
-                F.struct("french", F.col("simulated_response").alias("response")),
-                F.struct("collected_at", F.coalesce("simulated_response", F.lit(""))),
-            ).alias("x")
-        )
-        .select("sample_table", "question", "sample_idx", "x.*")
-    )
+    rows = rows.where("question is not null and sample_idx is not null")
     asked = questions.select(
         F.col("variable_name").alias("question"), "options", "options_fr", "label", F.col("question").alias("asked"),
         "label_fr", F.col("question_fr").alias("asked_fr"),
@@ -274,21 +291,30 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
             for at in range(0, len(batch), 4000):
                 b = batch.iloc[at : at + 4000]
                 pairs, x, fresh = [], [], []
-                for r in b.itertuples():
-                    q = question_of(r.options, r.options_fr, r.label, r.asked, r.label_fr, r.asked_fr)
-                    key = (r.response, "FR" if r.french and (r.options_fr or "").strip() else "EN")
+                texts = zip(*(b[c].tolist() for c in QUESTION_COLUMNS))
+                for text, response, french in zip(texts, b["response"].tolist(), b["french"].tolist()):
+                    q = question_of(*text)
+                    key = (response, "FR" if french and (text[1] or "").strip() else "EN")
                     pairs.append((q, key))
-                    if key not in q.judged:
-                        q.judged[key] = ""
-                        fresh.append((q, key))
-                        x.append(features(*key, q))
+                    if key not in q.judged and key not in q.lists.judged:
+                        row, alone = features(*key, q)
+                        known = q.lists.judged if alone else q.judged
+                        known[key] = ""
+                        fresh.append((known, key))
+                        x.append(row)
                 if x:
-                    for (q, key), kind in zip(fresh, classify(x, weights, cuts)):
-                        q.judged[key] = kind
-                out = b[["sample_table", "question", "sample_idx"]].assign(defect_type=[q.judged[k] for q, k in pairs])
-                yield out[out["defect_type"] != ""]
-
-    kinds = dict(keys.dtypes)
-    return spread(keys.join(asked, "question", "left")).mapInPandas(
-        judge, f"sample_table string, question string, sample_idx {kinds['sample_idx']}, defect_type string"
+                    for (known, key), kind in zip(fresh, classify(x, weights, cuts)):
+                        known[key] = kind
+                kinds = [q.judged[k] if k in q.judged else q.lists.judged[k] for q, k in pairs]
+                out = b[["sample_table", "question", "sample_idx"]].assign(rank=[RANK[k] for k in kinds])
+                yield out[out["rank"] < len(TYPES)]
+
+    index = dict(rows.dtypes)["sample_idx"]
+    judged = spread(rows.join(asked, "question", "left")).mapInPandas(
+        judge, f"sample_table string, question string, sample_idx {index}, rank int"
+    )
+    types = F.array(*[F.lit(t) for t in TYPES])
+    return (
+        judged.groupBy("sample_table", "question", "sample_idx").agg(F.min("rank").alias("rank"))
+        .select("sample_table", "question", "sample_idx", F.get(types, F.col("rank")).alias("defect_type"))
     )

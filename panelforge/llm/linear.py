@@ -20,7 +20,7 @@ class Sparse:
     def __init__(self, rows: list[list[int]], bits: int = BITS):
         self.size = (1 << bits) + 1
         kept = [np.unique(np.asarray(r, np.int64)) for r in rows]
-        lengths = np.array([len(r) + 1 for r in kept])
+        lengths = np.array([len(r) + 1 for r in kept], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.index = np.concatenate([np.append(r, self.size - 1) for r in kept]).astype("i4") if kept else np.zeros(0, "i4")

@@ -35,8 +35,7 @@ def fold(text: str) -> str:
     """Lower case without accents, compatibility forms, invisible characters or mojibake."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", repair(text)))
-        text = _MARKS.sub("", text)
-        text = text.replace("œ", "oe").replace("æ", "ae")
+        text = _MARKS.sub("", text.lower()).replace("œ", "oe").replace("æ", "ae")
     return text.lower()
 
 
@@ -56,27 +55,41 @@ def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+class Edits:
+    """Edits (with swaps of neighbours) from one text to others, by bit vectors over its letters."""
+
+    def __init__(self, text: str):
+        self.size, self.at = len(text), {}
+        for i, c in enumerate(text):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def to(self, other: str, k: int) -> int:
+        """The number of edits, or k + 1 if more than k are needed."""
+        n = self.size
+        if abs(n - len(other)) > k:
+            return k + 1
+        if not n:
+            return len(other)
+        full, last = (1 << n) - 1, 1 << (n - 1)
+        up, down, same, before, dist = full, 0, 0, 0, n
+        for c in other:
+            here = self.at.get(c, 0)
+            swap = ((~same & here) << 1) & before
+            same = ((((here & up) + up) ^ up) | here | down | swap) & full
+            plus, minus = (down | ~(same | up)) & full, same & up
+            if plus & last:
+                dist += 1
+            elif minus & last:
+                dist -= 1
+            plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+            up, down = (minus | ~(same | plus)) & full, plus & same
+            before = here
+        return min(dist, k + 1)
+
+
 def damerau(a: str, b: str, k: int) -> int:
-    """Edits (with swaps of neighbours) from a to b, or k + 1 if more than k are needed; banded."""
-    if abs(len(a) - len(b)) > k:
-        return k + 1
-    far = k + 1
-    older: dict[int, int] = {}
-    last = {j: j for j in range(min(len(b), k) + 1)}
-    for i, x in enumerate(a, 1):
-        row = {}
-        for j in range(max(0, i - k), min(len(b), i + k) + 1):
-            best = last.get(j, far) + 1
-            if j:
-                y = b[j - 1]
-                best = min(best, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != y))
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    best = min(best, older.get(j - 2, far) + 1)
-            row[j] = best
-        if min(row.values()) > k:
-            return far
-        older, last = last, row
-    return min(far, last.get(len(b), far))
+    """Edits (with swaps of neighbours) from a to b, or k + 1 if more than k are needed."""
+    return 0 if a == b else Edits(a).to(b, k) if abs(len(a) - len(b)) <= k else k + 1
 
 
 class Memo:
