@@ -150,8 +150,8 @@ def leaked_items(
     misspellings and insertions are allowed (see holds_stretch). NULL, empty and blank texts hold
     nothing; an item of fewer than 20 words cannot leak; repeated rows give one result row.
 
-    Every window of 12 words of every document is embedded and looked up among the keys of all windows
-    of the items (see Embedding); documents that share a key with an item are verified against it. The
+    Every window of 12 words of every document, if at least half of them are words of the items, is
+    embedded and looked up among the keys of all windows of the items (see Embedding); documents that share a key with an item are verified against it. The
     items are the stated query set: they come in blocks of at most block_items rows and block_chars
     characters, so what is broadcast is bounded, and every block is held against all documents. Nothing
     is shuffled but the found pairs.
@@ -180,6 +180,7 @@ def leaked_items(
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, items_words, rare, bare, item_key, owner = shared.value
+            vocabulary = np.unique(np.array([word_hash(w) for w in {w for ws in items_words for w in ws}] or [0], np.uint64))
             near: dict[int, dict[str, list[int]]] = {}
             rare_forms: dict[int, set[str]] = {}
             known: dict[str, int] = {}
@@ -198,6 +199,12 @@ def leaked_items(
                     if not begins:
                         continue
                     begins = np.concatenate(begins)
+                    # a window that can be part of a leak has at least half its words in the items
+                    place = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+                    inside = np.concatenate([[0], np.cumsum(vocabulary[place] == codes)])
+                    begins = begins[inside[begins + WINDOW] - inside[begins] >= WINDOW // 2]
+                    if not len(begins):
+                        continue
                     hits: dict[tuple[int, int], list[int]] = defaultdict(list)
                     for keys in embedding.keys(codes, begins):
                         for h, k in lookup(item_key, owner, keys):
