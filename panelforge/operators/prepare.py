@@ -118,6 +118,24 @@ def prepare_questions(
     return add_domain(final, domains, test, drop)
 
 
+def prune_dropped(respondents: DataFrame, questions: DataFrame, profile: list[str]) -> DataFrame:
+    """Respondents without the columns of dropped questions: profile columns and kept ones, in their order."""
+    kept = {r["column_name"] for r in questions.where("split <> 'drop'").select("column_name").distinct().collect()}
+    return respondents.select(*[c for c in respondents.columns if c in kept or c in profile])
+
+
+def require_rows(df: DataFrame, what: str = "rows") -> DataFrame:
+    """df, if it has any row; else an error."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def split_counts(questions: DataFrame) -> DataFrame:
+    """train, test, drop: how many questions each split has, 0 if none."""
+    return questions.agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "test", "drop")])
+
+
 def long_answers(respondents: DataFrame, questions: DataFrame, key: str = "respondent_id") -> DataFrame:
     """answers(key, variable_name, value) for every question whose column the respondents have."""
     present = set(respondents.columns)

@@ -350,7 +350,15 @@ def similarity_bins(spark, d):
     return evaluate.by_similarity(_tv(spark, d), index, "question", "tv", 20).withColumn("mean", F.round("mean", 6))
 
 
-@query("retrieved_context")
+@query(
+    "retrieved_context",
+    f"""with e as (select variable_name, cast(embedding as double[]) as v from questions where split = 'test' and len(embedding) = 64),
+    p as (select t.variable_name as target, c.variable_name as near, round(case when list_dot_product(t.v, t.v) = 0 or list_dot_product(c.v, c.v) = 0 then 0.0
+      else list_cosine_similarity(t.v, c.v) end, 9) as s from e t, e c where t.variable_name <> c.variable_name),
+    r as (select *, row_number() over (partition by target order by s desc, near) as r from p)
+    select a.respondent_id, r.target, string_agg('Q: ' || coalesce(q.label, '') || ' R: ' || a.value, chr(10) order by r.r) as context
+    from r join {_ANSWERS} a on a.variable_name = r.near join questions q on q.variable_name = r.near where r.r <= 5 group by 1, 2""",
+)
 def retrieved_context(spark, d):
     """Each respondent's own answers to the nearest other test questions of a target."""
     questions = read_table(spark, d, "questions")
@@ -358,7 +366,13 @@ def retrieved_context(spark, d):
     return evaluate.retrieved_context(index, answers(spark, d), questions)
 
 
-@query("chat_messages")
+@query(
+    "chat_messages",
+    f"""with rws as materialized {_ROWS}, x as (select t.respondent_id, t.parent_key, {_INPUT} as input, answer as output
+      from rws t join {_ring(10)} c on t.respondent_id = c.respondent_id and t.parent_key = c.parent_key join {_PROFILES} p on t.respondent_id = p.respondent_id)
+    select respondent_id, parent_key, cast(to_json([{{'role': 'system', 'content': 'Answer as this respondent.'}}, {{'role': 'user', 'content': input}},
+      {{'role': 'assistant', 'content': output}}]) as varchar) as messages from x""",
+)
 def chat_messages(spark, d):
     return corpus.chat_messages(sft_questions(spark, d), "Answer as this respondent.").select("respondent_id", "parent_key", "messages")
 

@@ -9,7 +9,7 @@ from panelforge.functions import survey as V
 from panelforge.functions.options import options_list
 from panelforge.functions.text import normalize_text
 from panelforge.functions.vectors import cosine, embedding, norm
-from panelforge.operators import dedup, groups, lookup, sampling
+from panelforge.operators import dedup, embedding as encoders, groups, lookup, prepare, sampling
 from panelforge.operators.corpus import parents
 from panelforge.operators.similarity import similarity_index
 from panelforge.plans import sqltext as S
@@ -236,6 +236,17 @@ def thematic_splits(spark, d):
     )
 
 
+@query("split_counts", "select count(*) filter (split = 'train') as train, count(*) filter (split = 'test') as test, count(*) filter (split = 'drop') as drop from questions")
+def split_counts(spark, d):
+    return prepare.split_counts(_t(spark, d, "questions"))
+
+
+@query("embedded_questions")
+def embedded_questions(spark, d):
+    """Vectors of the stand-in encoder; an encoder has no counterpart in SQL."""
+    return encoders.embed_questions(_t(spark, d, "questions"), force=True).select("variable_name", "embedding")
+
+
 # -- respondents
 
 

@@ -238,3 +238,18 @@ def test_stream(spark, tmp_path):
     run = lambda: checkpoint.latest_by_key(spark, f"{tmp_path}/in", "k int, v string, t int", f"{tmp_path}/out", f"{tmp_path}/state", ["k"], ["t"])
     assert {(r["k"], r["v"]) for r in run().collect()} == {(1, "b"), (2, "c")}
     assert run().count() == 2
+
+
+def test_embedding_and_guards(spark, questions):
+    from panelforge.operators import embedding
+
+    made = embedding.embed_questions(questions)
+    assert {len(r["embedding"]) for r in made.collect()} == {64} and made.columns == [*questions.columns, "embedding"]
+    with pytest.raises(ValueError):
+        embedding.embed_questions(made)
+    wide = spark.createDataFrame([("x", "1", "2")], "age string, b string, gone string")
+    dropped = spark.createDataFrame([("b", "train"), ("gone", "drop")], "column_name string, split string")
+    assert prepare.prune_dropped(wide, dropped, ["age"]).columns == ["age", "b"]
+    with pytest.raises(ValueError):
+        prepare.require_rows(wide.limit(0))
+    assert tuple(prepare.split_counts(questions).first()) == (5, 1, 0)
