@@ -43,7 +43,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores, for steps that cost much per row.
 
-    Only inputs of few files are shuffled; a large table has more splits than cores.
+    Only inputs of few files are shuffled; a large table has more splits than cores. A plan that shuffles
+    anyway stays as it is: asking for its partitions would run its stages.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(step in plan for step in ("Join ", "Aggregate ", "Window ", "Repartition", "Sort ")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
