@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.normal import deletions, word_hash, words
+from panelforge.llm.normal import Memo, deletions, word_hash, words
 from panelforge.session import spread
 
 WINDOW = 12
@@ -83,11 +83,14 @@ def near_forms(item: list[str]) -> dict[str, list[int]]:
     return {f: sorted(p) for f, p in forms.items()}
 
 
+forms_of = Memo(deletions, 100_000)
+
+
 def has_any(text: list[str], rare: set[str], rare_forms: set[str]) -> bool:
     """True if a word of the text is one of the rare words or at most one edit from one."""
     own = set(text)
     return not rare.isdisjoint(own) or any(
-        not rare_forms.isdisjoint(deletions(w)) for w in own if len(w) > 4
+        not rare_forms.isdisjoint(forms_of(w)) for w in own if len(w) > 4
     )
 
 
@@ -104,7 +107,7 @@ def holds_stretch(
     matches = []
     for i, w in enumerate(text):
         spots = set()
-        for f in deletions(w) if len(w) > 4 else (w,):
+        for f in forms_of(w) if len(w) > 4 else (w,):
             spots.update(near.get(f, ()))
         matches += [(i, j) for j in sorted(spots, reverse=True)]
     if len({j for _, j in matches}) < share * least:
