@@ -59,7 +59,7 @@ def parse_list(stored: str | None) -> tuple[tuple[int, str, int | None], ...]:
 def bare(text: str) -> str:
     """Text without blanks, quotes, stars, bullets and closing marks around it."""
     last = None
-    while text != last:
+    while text != last and not (text[:1].isalnum() and text[-1:].isalnum()):
         last = text
         text = _EDGE.sub("", text)
     return text
@@ -90,6 +90,13 @@ def without_code(text: str) -> tuple[str, int | None]:
 
 
 _CARRIERS = [tuple(c.split("{}")) for c in CARRIERS]
+_BY_HEAD: dict[str, list[tuple[str, str]]] = {}
+_BY_TAIL: dict[str, list[tuple[str, str]]] = {}
+for _head, _tail in _CARRIERS:
+    if _head:
+        _BY_HEAD.setdefault(_head.split()[0], []).append((_head, _tail))
+    else:
+        _BY_TAIL.setdefault(_tail.split()[-1], []).append((_head, _tail))
 
 
 def readings(text: str) -> list[tuple[list[str], bool]]:
@@ -102,8 +109,9 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
     base = bare(base)
     base, _ = without_code(base)
     out = [(words(base), False)]
-    plain = " ".join(out[0][0])
-    for head, tail in _CARRIERS:
+    first = out[0][0]
+    plain = " ".join(first)
+    for head, tail in _BY_HEAD.get(first[0], []) + _BY_TAIL.get(first[-1], []) if first else ():
         if plain.startswith(head) and plain.endswith(tail) and len(plain) > len(head) + len(tail):
             out.append((plain[len(head) : len(plain) - len(tail) if tail else None].split(), False))
     for mark in (": ", " : ", "= ", "? "):
@@ -116,8 +124,8 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
     # a carrier may stand before an explanation
     for ws, _ in list(out[1:]):
         line = " ".join(ws)
-        for head, tail in _CARRIERS:
-            if head and not tail and line.startswith(head):
+        for head, tail in _BY_HEAD.get(ws[0], ()) if ws else ():
+            if not tail and line.startswith(head):
                 out.append((line[len(head) :].split(), True))
     seen, kept = set(), []
     for ws, cut in out:

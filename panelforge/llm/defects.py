@@ -15,7 +15,6 @@ from panelforge.llm.answers import REFUSAL, Sources, bare, bare_code, copied, is
 from panelforge.llm.canonical import Entries, abbreviated, aliases, misspelt
 from panelforge.llm.linear import Sparse, best_threshold, fit, place
 from panelforge.llm.normal import Memo, words
-from panelforge.session import spread
 
 #: In the order in which they win when their margins are equal.
 TYPES = ["empty", "refusal", "question_copy", "truncated", "other_language"]
@@ -56,10 +55,8 @@ def plainly(ws: list[str], e: Entries) -> bool:
     return "".join(ws) in e.exact or any(a in e.exact for a in aliases(ws))
 
 
-def names_entry(ws: list[str], e: Entries) -> bool:
-    """True if the words are an entry, a known wording, a misspelling or an abbreviation of one."""
-    if plainly(ws, e):
-        return True
+def nearly(ws: list[str], e: Entries) -> bool:
+    """True if the words are a misspelling or an abbreviation of an entry."""
     if len(ws) >= 12:
         return False
     text = "".join(ws)
@@ -92,11 +89,11 @@ def features(response: str | None, language: str, q: Question) -> tuple[list[int
     ways = readings(text)
     own, foreign = q.lists.of[language], q.lists.of[other]
     code = bare_code(bare(text)) is not None or bare_code(text) is not None
-    # a plain hit spares the search for misspelt ones
-    plain_hit = any(plainly(w, e) for w, _ in ways for e in (own, foreign))
-    test = plainly if plain_hit else names_entry
+    hits = [(plainly(w, own), plainly(w, foreign), cut) for w, cut in ways]
+    plain_hit = any(a or b for a, b, _ in hits)
+    if not plain_hit:  # only then the search for misspelt ones
+        hits = [(nearly(w, own), nearly(w, foreign), cut) for w, cut in ways]
     alone = plain_hit and len(ws) < 6
-    hits = [(test(w, own), test(w, foreign), cut) for w, cut in ways]
     hit_own, hit_other = any(a for a, _, _ in hits), any(b for _, b, _ in hits)
     whole = any((a or b) and not cut for a, b, cut in hits)
     closed = text.rstrip("\"'»” )*_")[-1:] in ".!?…"
@@ -183,7 +180,7 @@ def made_pairs(row: dict, language: str, rng: random.Random) -> list[tuple[str,
         reason = rng.choice(seeds.lines(seeds.REASONS[language]))
         out.append((label + reason[: rng.randrange(12, len(reason) - 1)], "truncated"))
         cut = rng.randrange(2, max(3, len(label) - 1))
-        if len(label) > 4 and not names_entry(words(label[:cut]), own):
+        if len(label) > 4 and not (plainly(words(label[:cut]), own) or nearly(words(label[:cut]), own)):
             out.append((rng.choice(["", "", "My answer: " if language == "EN" else "Ma réponse : "]) + label[:cut].rstrip(), "truncated"))
     for _, label, code in some([e for e in q_lists[other] if e[1] not in same], 3):
         out.append((dress(recase(rng, label), code, other), "other_language"))
@@ -281,7 +278,7 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
     asked = questions.select(
         F.col("variable_name").alias("question"), "options", "options_fr", "label", F.col("question").alias("asked"),
         "label_fr", F.col("question_fr").alias("asked_fr"),
-    ).dropDuplicates(["question"])
+    )
     model = train(asked.join(rows.select("question").distinct(), "question", "left_semi"), sample_questions)
     shared = questions.sparkSession.sparkContext.broadcast((model["weights"], model["cuts"]))
 
@@ -310,7 +307,7 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
                 yield out[out["rank"] < len(TYPES)]
 
     index = dict(rows.dtypes)["sample_idx"]
-    judged = spread(rows.join(asked, "question", "left")).mapInPandas(
+    judged = rows.join(asked, "question", "left").mapInPandas(
         judge, f"sample_table string, question string, sample_idx {index}, rank int"
     )
     types = F.array(*[F.lit(t) for t in TYPES])

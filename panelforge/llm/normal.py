@@ -41,7 +41,10 @@ def fold(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Folded words; an apostrophe inside a word leaves no trace."""
-    return _WORD.findall(_APOSTROPHE.sub("", fold(text))) if text else []
+    if not text:
+        return []
+    text = fold(text)
+    return _WORD.findall(_APOSTROPHE.sub("", text) if _APOSTROPHE.search(text) else text)
 
 
 def word_hash(word: str) -> int:
