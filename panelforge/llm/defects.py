@@ -15,6 +15,7 @@ from panelforge.llm.answers import REFUSAL, Sources, bare, bare_code, copied, is
 from panelforge.llm.canonical import Entries, abbreviated, aliases, misspelt
 from panelforge.llm.linear import Sparse, best_threshold, fit, place
 from panelforge.llm.normal import Memo, words
+from panelforge.session import bounded_sample, cut
 
 #: In the order in which they win when their margins are equal.
 TYPES = ["empty", "refusal", "question_copy", "truncated", "other_language"]
@@ -213,16 +214,14 @@ def made_pairs(row: dict, language: str, rng: random.Random) -> list[tuple[str,
     return out
 
 
-def train(questions: DataFrame, sample_questions: int = 120, seed: int = 3) -> dict:
-    """Weights (one row per type) and calibrated cuts, from at most sample_questions questions.
+def train(sample: DataFrame, seed: int = 3) -> dict:
+    """Weights (one row per type) and calibrated cuts, from the questions of a bounded sample.
 
     Examples are made from the questions themselves and the seed sentences: answers truncated, copied,
     swapped for the other language's, and refused. A fifth of the questions is held out, and each type's
     cut is calibrated there.
     """
-    rows = [
-        r.asDict() for r in questions.orderBy(F.xxhash64("question"), "question").limit(sample_questions).collect()
-    ]
+    rows = sorted((r.asDict() for r in sample.collect()), key=lambda r: r["question"])
     x, y, held = [], [], []
     for r in rows:
         rng = random.Random(seed + place(r["question"]))
@@ -279,7 +278,9 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
         F.col("variable_name").alias("question"), "options", "options_fr", "label", F.col("question").alias("asked"),
         "label_fr", F.col("question_fr").alias("asked_fr"),
     )
-    model = train(asked.join(rows.select("question").distinct(), "question", "left_semi"), sample_questions)
+    named = rows.select("question").distinct().join(asked.select("question").distinct(), "question", "left_semi")
+    chosen = bounded_sample(cut(named), "question", sample_questions)
+    model = train(asked.join(F.broadcast(chosen), "question", "left_semi").dropDuplicates(["question"]))
     shared = questions.sparkSession.sparkContext.broadcast((model["weights"], model["cuts"]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,7 +73,7 @@ def test_held_out_quality(spark, questions):
     many = asked
     for i in range(60):
         many = many.unionByName(asked.withColumn("question", F.lit(f"x{i}")))
-    model = defects.train(many, 60)
+    model = defects.train(many)
     assert all(f1 > 0.9 for f1 in model["held_out_f1"].values())
 
 
