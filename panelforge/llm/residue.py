@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.linear import Sparse, best_threshold, fit, place
 from panelforge.llm.normal import fold
-from panelforge.session import spread
+from panelforge.session import bounded_sample, spread
 
 _SEGMENT = re.compile(r"\n+|(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W_]+")
@@ -193,11 +193,8 @@ def train(documents: DataFrame, sample_docs: int = 4_000, held_out: float = 0.2)
     Labels are weak: status codes, phrases and template slots (see weak_label). The threshold is the one
     of best F1 on the documents of held-out sources, about held_out of all, that training never saw.
     """
-    rows = (
-        documents.where("t is not null")
-        .select("d", "t", F.coalesce("s", F.lit("")).alias("s"), F.xxhash64("d").alias("h"))
-        .orderBy("h", "d").limit(sample_docs).collect()
-    )
+    told = documents.where("t is not null").select("d", "t", F.coalesce("s", F.lit("")).alias("s"))
+    rows = bounded_sample(told, "d", sample_docs).collect()
     x, y, held = [], [], []
     for r in rows:
         parts = segments(r["t"])
