@@ -108,7 +108,7 @@ def sft_questions(spark, d):
     "sft_grid",
     f"""with rws as materialized {_ROWS} """
     + " union all ".join(
-        f"select '{part}' as mode, {n} as n_ctx, count(*) as examples, sum(n_context) as context_lines from {_ring(n)} {extra}"
+        f"select '{part}' as mode, {n} as n_ctx, count(*) as examples, cast(sum(n_context) as bigint) as context_lines from {_ring(n)} {extra}"
         for part, extra in (("q", ""), ("r", "where respondent_id in (select respondent_id from respondents where respondent_split = 'train')"))
         for n in (10, 15, 25, 50)
     ),

@@ -253,3 +253,12 @@ def test_embedding_and_guards(spark, questions):
     with pytest.raises(ValueError):
         prepare.require_rows(wide.limit(0))
     assert tuple(prepare.split_counts(questions).first()) == (5, 1, 0)
+
+
+def test_bounded_sample(spark):
+    from panelforge.session import bounded_sample
+
+    df = spark.range(10_000)
+    one = [r[0] for r in bounded_sample(df, "id", 50).collect()]
+    assert len(one) == 50 and sorted(one) == sorted(r[0] for r in bounded_sample(df.repartition(7), "id", 50).collect())
+    assert bounded_sample(df.limit(3), "id", 50).count() == 3
