@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.linear import Sparse, best_threshold, fit, place
-from panelforge.llm.normal import fold
+from panelforge.llm.linear import BITS, Sparse, best_threshold, fit, place
+from panelforge.llm.normal import Memo, fold
 from panelforge.session import bounded_sample, spread
 
 _SEGMENT = re.compile(r"\n+|(?<=[.!?…])\s+")
@@ -40,6 +41,8 @@ REASONS = [
     "erreur interne du serveur", "service indisponible",
 ]
 _REASON = re.compile(r"\b(?:%s)\b" % "|".join(REASONS))
+_DIGIT = re.compile(r"\d")
+_MASK = (1 << BITS) - 1
 _STATUS = re.compile(r"\b[45]\d\d\b")
 #: Phrases of notices, error pages and filler, on folded text of one segment.
 PHRASES = [
@@ -71,7 +74,7 @@ def segments(text: str) -> list[str]:
     out = [s for s in (_LEAD.sub("", p).strip() for p in _SEGMENT.split(text)) if s]
     inner = []
     for s in out:
-        if len(s) > 40 and _SIGN.search(s):
+        if len(s) > 12 and _SIGN.search(s):
             for _, pattern in _SLOT:
                 inner += [m.group() for m in pattern.finditer(s)]
     return out + inner
@@ -80,11 +83,13 @@ def segments(text: str) -> list[str]:
 def slots(segment: str) -> list[tuple[str, str]]:
     """(marks, kind of content) of each template slot in a segment; kinds: name, asks, number, other."""
     found, rest = [], segment
+    if not _SIGN.search(segment):
+        return found
     for marks, pattern in _SLOT:
         for m in pattern.finditer(rest):
             inside = m.group(1).strip()
             if inside.isdigit():
-                kind = "number"
+                kind = "number" if marks == "{}" else "other"
             elif marks == "<>" and _MARKUP.fullmatch(inside.lower()):
                 kind = "markup"
             elif marks in ("todo", "xxx") or _ASKS.search(fold(inside)):
@@ -98,6 +103,10 @@ def slots(segment: str) -> list[tuple[str, str]]:
     return found
 
 
+def _word_code(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 def weak_label(segment: str) -> int:
     """1 for residue by status code, phrase or slot; 0 for anything else."""
     plain = " ".join(_WORD.findall(fold(segment).replace("'", "").replace("’", "")))
@@ -109,13 +118,17 @@ def weak_label(segment: str) -> int:
     return int(any(kind in ("name", "asks", "number") for _, kind in slots(segment)))
 
 
+word_code = Memo(_word_code, 200_000)
+
+
 def features(segment: str, title: bool, alone: bool) -> list[int]:
     """Hashed word n-grams, slots, length and title features of one segment."""
-    ws = [re.sub(r"\d", "0", w) for w in _WORD.findall(fold(segment))]
-    named = ["^", *ws, "$"]
-    out = [place("w:" + w) for w in ws]
-    out += [place("b:" + a + " " + b) for a, b in zip(named, named[1:])]
-    out += [place("t:" + " ".join(g)) for g in zip(named, named[1:], named[2:])]
+    ws = _WORD.findall(_DIGIT.sub("0", fold(segment)))
+    codes = [word_code("^"), *map(word_code, ws), word_code("$")]
+    out = [c & _MASK for c in codes[1:-1]]
+    pairs = [(a * 0x9E3779B1 ^ b) & 0xFFFFFFFF for a, b in zip(codes, codes[1:])]
+    out += [p >> 7 & _MASK for p in pairs]
+    out += [((p * 0x85EBCA6B ^ c) & 0xFFFFFFFF) >> 7 & _MASK for p, c in zip(pairs, codes[2:])]
     for marks, kind in slots(segment):
         out += [place(f"slot:{kind}:{j}") for j in range(4)] + [place(f"slot:{marks}:{kind}"), place("slot:any")]
     out.append(place(f"len:{min(6, len(ws) // 3)}"))
@@ -138,6 +151,7 @@ def seeds() -> list[tuple[str, int]]:
             if len(a) == 1 and a in "[<" and n.islower() and n.isalpha():
                 continue
             out.append((carriers[(i + j) % len(carriers)].format(a + n + b), 1))
+    out += [(c.format("{0} of {1}"), 1) for c in carriers] + [("{0}", 1), ("{1}", 1)]
     for j, ask in enumerate(["INSERT NAME", "your text here", "À COMPLÉTER", "nom à insérer", "insert quote"]):
         out += [(c.format(m[0] + ask + m[1]), 1) for c in carriers for m in ("[]", "<>")]
         out.append((carriers[j].format("TODO: add figure"), 1))
