@@ -27,6 +27,13 @@ class Sparse:
         self.row = np.repeat(np.arange(len(kept), dtype="i4"), lengths)
         self.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths) if kept else np.zeros(0, "f4")
 
+    def narrowed(self) -> tuple[tuple[np.ndarray, int], "Sparse"]:
+        """The features that occur with the width of the space, and the rows over those features only."""
+        found, place_of = np.unique(self.index, return_inverse=True)
+        out = object.__new__(Sparse)
+        out.__dict__ |= self.__dict__ | {"size": len(found), "index": place_of.astype("i4")}
+        return (found, self.size), out
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights[self.index] * self.value, self.starts) if len(self.starts) else np.zeros(0)
 
@@ -38,11 +45,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, l2: float = 1e-5, rounds: int = 250, rate: float = 0.5) -> np.ndarray:
-    """Weights of a logistic regression by full batches and Adam steps.
+def fit(x: Sparse, y: np.ndarray, l2: float = 1e-5, rounds: int = 120, rate: float = 0.8) -> np.ndarray:
+    """Weights of a logistic regression by full batches and Adam steps, over the features that occur.
 
     The rarer class weighs more per row, by the square root of the ratio of the counts.
     """
+    used, x = x.narrowed()
+    full = np.zeros(used[1])
+    full[used[0]] = _descend(x, y, l2, rounds, rate)
+    return full
+
+
+def _descend(x: Sparse, y: np.ndarray, l2: float, rounds: int, rate: float) -> np.ndarray:
     y = np.asarray(y, float)
     weight = np.where(y > 0, max(1.0, y.sum()) ** -0.5, max(1.0, (1 - y).sum()) ** -0.5)
     weight /= max(weight.sum(), 1e-12)
