@@ -6,11 +6,11 @@ import re
 import unicodedata
 import zlib
 
-_BROKEN = re.compile("[Â-Å][\u0080-¿Œ-ž–-™]|â[€\u0080][\u0080-¿Œ-ž–-™˜]")
-_INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_APOSTROPHE = re.compile("['’‘ʼ`´]")
+_BROKEN = re.compile("[\u00c2-\u00c5][\u0080-\u00bf\u0152-\u017e\u2013-\u2122]|\u00e2[\u20ac\u0080][\u0080-\u00bf\u0152-\u017e\u2013-\u2122\u02dc]")
+_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+_APOSTROPHE = re.compile("['\u2019\u2018\u02bc`\u00b4]")
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 
 
 def _repair_one(m: re.Match) -> str:

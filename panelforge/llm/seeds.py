@@ -202,7 +202,7 @@ POLITE = {
     "EN": ["I'm sorry to put it this way, but {}", "Honestly? {}", "My answer: {}", "Answer = {}", "I would say {}.", "hmm {} i guess", "As someone who grew up here, I pick: {}"],
     "FR": ["Désolé de le dire ainsi, mais {}", "Honnêtement? {}", "Ma réponse : {}", "Réponse = {}", "Je dirais {}.", "euh {} je pense", "Ayant grandi ici, je choisis : {}"],
 }
-EMPTY = ["", " ", "\t", "\n", "\r\n \n", " ", "​", "-", "—", "...", "…", "''", '""', "[]", "?", ".", "null", "NULL", "None", "nan", "NaN", "N/A", "n/a"]
+EMPTY = ["", " ", "\t", "\n", "\r\n \n", "\u00a0", "\u200b", "-", "—", "...", "…", "''", '""', "[]", "?", ".", "null", "NULL", "None", "nan", "NaN", "N/A", "n/a"]
 
 
 def lines(block: str) -> list[str]:

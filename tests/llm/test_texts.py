@@ -44,7 +44,7 @@ def test_readings():
     assert answers.bare_code("Option 3") == 3 and answers.bare_code("#4") == 4 and answers.bare_code("3 eggs") is None
     assert answers.parse_list('{"a": 1}') == () and answers.parse_list(None) == ()
     assert (["civic", "left"], False) in answers.readings("Honestly? Civic Left")
-    assert answers.is_empty("​") and not answers.is_empty("No")
+    assert answers.is_empty("\u200b") and not answers.is_empty("No")
 
 
 def test_defects(spark, questions):
