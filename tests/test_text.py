@@ -12,7 +12,7 @@ def col(spark, values, f, kind="string"):
 
 
 def test_missing(spark):
-    values = [None, "", "  ", "nan", "NaN", "None", "null", " a ", " b\t", "nano"]
+    values = [None, "", "  ", "nan", "NaN", "None", "null", " a ", "\u00a0b\t", "nano"]
     assert col(spark, values, T.normalize_text) == [None] * 7 + ["a", "b", "nano"]
     assert col(spark, [None, "", "null", "nan", " x "], T.normalize_value) == ["Not specified"] * 3 + ["nan", "x"]
 
@@ -26,7 +26,7 @@ def test_parent_and_children(spark):
 
 
 def test_cleaning(spark):
-    assert col(spark, ["  Display This Choice: a  b :; ", None], T.clean_text) == ["a b", ""]
+    assert col(spark, ["  Display This Choice: a\u00a0 b :; ", None], T.clean_text) == ["a b", ""]
     assert col(spark, ["- Display This Question: ${x} [y] a\r\n b -"], T.clean_codebook_text) == ["a b"]
     assert col(spark, ["éàçñüŒß", "é"], T.strip_diacritics) == ["eacnuŒß", "e"]
     assert col(spark, ["The café, the CAFE is a z à"], T.content_terms) == [["cafe"]]
