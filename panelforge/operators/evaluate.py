@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def distribution(answers: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n, share: how often each value occurs within each group. Two map-side combined aggregates."""
-    counts = answers.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    joined = counts.alias("l").join(totals.alias("r"), on) if by else counts.alias("l").crossJoin(totals.alias("r"))
+    group = [*by, "_all"]
+    counts = answers.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    joined = counts.alias("l").join(totals.alias("r"), on)
     return joined.select(*[F.col(f"l.{c}") for c in (*by, value)], F.col("l.n"), (F.col("l.n") / F.col("r.total")).alias("share"))
 
 

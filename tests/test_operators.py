@@ -198,6 +198,7 @@ def test_evaluate(spark):
     a = spark.createDataFrame([("q", "x"), ("q", "y"), ("r", "x")], "q string, v string")
     b = spark.createDataFrame([("q", "x"), ("q", "x")], "q string, v string")
     assert [tuple(r) for r in evaluate.total_variation(a, b, ["q"], "v").collect()] == [("q", 0.5)]
+    assert {tuple(r) for r in evaluate.distribution(b, [], "v").collect()} == {("x", 2, 1.0)}
 
 
 def test_sources(spark, tmp_path):
