@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from panelforge.llm.normal import _APOSTROPHE, _WORD, fold, repair
 from panelforge.session import cut, spread
 
-SEGMENT = 4
+#: Segment lengths with the fewest words of a text that has room for all its segments of that length, see needed().
+SEGMENTS = {1: 0, 2: 8, 3: 18, 4: 24, 6: 44}
 #: Survey routing marks: they belong to the layout of a question, not to its words.
 ROUTING = re.compile(
     r"\[[^\]]*\]|\([^)]*\)|\$?\{[^}]*\}|<[^>]*>|\bdisplay this (?:question|choice)\b:?", re.IGNORECASE
@@ -28,6 +30,42 @@ def edits(n: int) -> int:
     return max(min(3, n // 6), n // 12)
 
 
+def most_edits(n: int) -> int:
+    """The most edits that same_record allows a text of n words and any other text: the longer one's count too."""
+    return max(min(3, n // 5), n // 11)
+
+
+def needed(n: int) -> int:
+    """Disjoint segments of a text of n words of which every same record holds one unchanged.
+
+    An edit spoils one segment at most, and so does each of the two places where a turned text is cut;
+    single words cannot be cut.
+    """
+    return most_edits(n) + (3 if n >= SEGMENTS[2] else 1)
+
+
+def cheapest(cost: list[int], size: int, m: int) -> list[int]:
+    """Places of m disjoint segments of so many words, of the least total cost; cost[i] is that of a segment at i.
+
+    As many as have room if m do not.
+    """
+    m = min(m, (len(cost) + size - 1) // size)
+    # best[i][c]: least cost of c segments that end within the first i words
+    best = np.full((len(cost) + size, m + 1), np.inf)
+    best[:, 0] = 0
+    for i in range(size, len(best)):
+        np.minimum(best[i - 1, 1:], best[i - size, :-1] + cost[i - size], out=best[i, 1:])
+    out, i = [], len(best) - 1
+    while m:
+        if best[i, m] < best[i - 1, m]:
+            i -= size
+            m -= 1
+            out.append(i)
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def record(label: str | None, question: str | None) -> tuple[list[str], list[int], list[str]]:
     """Folded words of label and question, where sentences begin, and the words written as names.
 
@@ -140,13 +178,12 @@ def overlapping_records(
     nothing. Equal texts are one class; classes are compared, and at the end every pair of members comes
     out. Repeated rows give no repeated pairs; rows without a name and other splits are left out.
 
-    Of each evaluation text of n words k + 1 disjoint segments are cut, k = 3 (n / 6 if that is less,
-    n / 32 if that is more), none across a sentence bound if that leaves enough, and of all cuts the one
-    whose segments are rarest in training: k edits cannot touch them all, so a true partner holds one of
-    them unchanged, and stock phrases are used only where a text has nothing else. The segments are
-    joined by hash with all training substrings of that length. Pairs are verified by banded dynamic
-    programming, with sentences turned round where needed, for up to edits(n) word edits (see
-    same_record); a pair of more than k edits is found if one of the segments escaped them.
+    Of each evaluation text needed(n) disjoint segments are cut, more than the edits and turns that
+    same_record accepts can spoil, so that every pair it accepts shares one. Of the texts cut by the
+    lengths in SEGMENTS, longer texts get longer segments. The rarest in training come first, so stock
+    phrases are used only where a text has nothing else. The segments are joined by hash with all training
+    substrings of that length, pairs too different in length are left out, and the rest is verified by
+    banded dynamic programming, with sentences turned round where needed (see same_record).
     """
     side = F.when(F.col(f"`{split}`") == held, True).when(F.col(f"`{split}`") == corpus, False)
     raw = questions.select(
@@ -188,52 +225,55 @@ def overlapping_records(
         at = F.explode(F.sequence(F.lit(1), F.size("words") - F.lit(length - 1)))
         rows = df.where(F.size("words") >= length).select("cls", "words", at.alias("at"))
         return rows.select(
-            "cls", (F.col("at") - 1).alias("at"), F.xxhash64(F.slice("words", F.col("at"), F.lit(length))).alias("hash")
+            "cls",
+            F.size("words").alias("size"),
+            (F.col("at") - 1).alias("at"),
+            F.xxhash64(F.slice("words", F.col("at"), F.lit(length))).alias("hash"),
         )
 
+    # most_edits and needed, as columns
     n = F.size("words")
-    k = F.greatest(F.least(F.lit(3), F.floor(n / 6)), F.floor(n / 32)).cast("int")
-    tests = tests.withColumn("k", k).withColumn(
-        "length", F.greatest(F.lit(1), F.least(F.lit(SEGMENT), F.floor(n / (F.col("k") + 1)).cast("int")))
-    )
-    # texts that short have partners of at most that many words
-    short = 6 * SEGMENT
+    k = F.greatest(F.least(F.lit(3), F.floor(n / 5)), F.floor(n / 11)).cast("int")
+    tests = tests.withColumn("k", k).withColumn("need", F.col("k") + F.when(n >= SEGMENTS[2], 3).otherwise(1))
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def rarest(found: pd.Series, bounds: pd.Series, k: pd.Series, length: pd.Series) -> pd.Series:
+    def rarest(found: pd.Series, length: pd.Series, need: pd.Series) -> pd.Series:
         out = []
-        for f, cuts, kk, size in zip(found, bounds, k, length):
-            chosen: list[int] = []
-            order = sorted((x["df"], x["at"]) for x in f)
-            for clean in (True, False):
-                for _, at in order:
-                    if len(chosen) >= kk + 1:
-                        break
-                    if clean and any(at < c < at + size for c in cuts):
-                        continue
-                    if all(abs(at - c) >= size for c in chosen):
-                        chosen.append(int(at))
-            out.append(chosen)
+        for f, size, m in zip(found, length, need):
+            df = [0] * len(f)
+            for x in f:
+                df[x["at"]] = x["df"]
+            out.append(cheapest(df, int(size), int(m)))
         return pd.Series(out)
 
     pairs = None
-    for length in range(1, SEGMENT + 1):
-        own = tests.where(F.col("length") == length)
-        other = train if length == SEGMENT else train.where(F.size("words") <= short)
+    starts = [*SEGMENTS.values(), None]
+    for length, least, above in zip(SEGMENTS, starts, starts[1:]):
+        own = tests.where(n >= least)
+        other = train
+        if above is not None:
+            own = own.where(n < above)
+            other = train.where(n < above + most_edits(above))
         there = windows(other, length)
         df = there.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
         ranked = (
             windows(own, length)
+            .drop("size")
             .join(df, "hash", "left")
             .groupBy("cls")
             .agg(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("at"), F.col("hash"))).alias("found"))
-            .join(own.select("cls", "bounds", "k", "length"), "cls")
+            .join(own.select("cls", "k", "need", n.alias("size")), "cls")
         )
-        chosen = ranked.withColumn("chosen", rarest("found", "bounds", "k", "length"))
+        chosen = ranked.withColumn("chosen", rarest("found", F.lit(length), "need"))
         segments = chosen.select(
-            "cls", F.explode(F.filter("found", lambda x: F.array_contains("chosen", x["at"]) & (x["df"] > 0))).alias("x")
-        ).select(F.col("cls").alias("test"), F.col("x.hash").alias("hash"))
-        some = segments.join(there.select(F.col("cls").alias("train"), "hash"), "hash").select("test", "train")
+            "cls", "k", "size",
+            F.explode(F.filter("found", lambda x: F.array_contains("chosen", x["at"]) & (x["df"] > 0))).alias("x"),
+        ).select(F.col("cls").alias("test"), "k", "size", F.col("x.hash").alias("hash"))
+        some = (
+            segments.join(there.select(F.col("cls").alias("train"), "hash", F.col("size").alias("other")), "hash")
+            .where(F.abs(F.col("size") - F.col("other")) <= F.col("k"))
+            .select("test", "train")
+        )
         pairs = some if pairs is None else pairs.unionByName(some)
     pairs = pairs.distinct()
 

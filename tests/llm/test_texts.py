@@ -97,6 +97,19 @@ def test_overlaps(spark):
     assert overlap.overlapping_records(df.limit(0)).count() == 0
 
 
+def test_overlaps_as_many_edits_as_count(spark):
+    ws = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    rows = []
+    for n in (6, 12, 18, 24, 48, 60, 96, 120):
+        k = overlap.edits(n)
+        far = [f"x{w}" if i % (n // k) == n // k // 2 and i // (n // k) < k else w for i, w in enumerate(ws[:n])]
+        assert sum(a != b for a, b in zip(ws, far)) == k
+        rows += [(f"t{n}", "", " ".join(ws[:n]), "test"), (f"r{n}", "", " ".join(far), "train")]
+    df = spark.createDataFrame(rows, "variable_name string, label string, question string, split string")
+    got = {(r["held_name"], r["corpus_name"]) for r in overlap.overlapping_records(df).collect()}
+    assert got == {(f"t{n}", f"r{n}") for n in (6, 12, 18, 24, 48, 60, 96, 120)}
+
+
 def test_banded():
     rng = random.Random(5)
     for _ in range(300):
