@@ -209,12 +209,20 @@ _QIDX = "(select *, row_number() over (order by variable_name) - 1 as question_i
     select respondent_id, question_index, question, question_text, array_to_string(choices, '|') as choices, fr as is_french, {_INPUT.replace("'Q: ' || prompt", "'Q: Q: ' || question_text")} as input, survey_language from j""",
 )
 def task_build(spark, d):
-    """Every respondent with every test question that has no domain."""
+    """Every respondent with every test question that has no domain, as in the SQL; task_build_all has all."""
+    return _tasks(spark, d, "split = 'test' and thematic_domain is null").withColumn("choices", F.array_join("choices", "|"))
+
+
+@query("task_build_all")
+def task_build_all(spark, d):
+    """Every respondent with every test question."""
+    return _tasks(spark, d).withColumn("choices", F.array_join("choices", "|"))
+
+
+def _tasks(spark: SparkSession, d: str, asked: str = "split = 'test'") -> DataFrame:
     questions, respondents, items, _, values, rendered = _parts(spark, d)
     rows = corpus.prompted(rendered, groups.question_groups(items))
-    asked = questions.where("split = 'test' and thematic_domain is null")
-    made = corpus.tasks(respondents, asked, rows, corpus.profile_lines(respondents, values))
-    return made.withColumn("choices", F.array_join("choices", "|"))
+    return corpus.tasks(respondents, questions.where(asked), rows, corpus.profile_lines(respondents, values))
 
 
 # -- prompts of the simulations
@@ -284,11 +292,9 @@ def simulate_condition2(spark, d):
 
 @query("simulate_tasks")
 def simulate_tasks(spark, d):
-    """Tasks with resume: what respondents of the test split got before counts as done."""
-    questions, respondents, items, _, values, rendered = _parts(spark, d)
-    rows = corpus.prompted(rendered, groups.question_groups(items))
-    tasks = corpus.tasks(respondents, questions.where("split = 'test' and thematic_domain is null"), rows, corpus.profile_lines(respondents, values))
-    old = respondents.where("respondent_split = 'test'").select("respondent_id")
+    """All tasks with resume: what respondents of the test split got before counts as done."""
+    tasks = _tasks(spark, d)
+    old = read_table(spark, d, "respondents").where("respondent_split = 'test'").select("respondent_id")
     done = simulate.run_tasks(tasks.join(old, "respondent_id", "left_semi"), simulate.stub_responder)
     told = simulate.run_tasks(tasks, simulate.stub_responder, done)
     return told.select("respondent_id", "question", "response_text", "predicted_answer", "status")
