@@ -1,5 +1,6 @@
 """Answers, defects, overlaps, leaks and residue on fixtures with known truth."""
 
+import itertools
 import random
 
 import pytest
@@ -110,6 +111,27 @@ def test_overlaps_as_many_edits_as_count(spark):
     assert got == {(f"t{n}", f"r{n}") for n in (6, 12, 18, 24, 48, 60, 96, 120)}
 
 
+def test_overlaps_of_short_texts(spark):
+    ws = [f"word{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for n, changed in ((8, [4]), (12, [5, 6])):
+        own = [f"{w}{n}" for w in ws[:n]]
+        rows.append((f"t{n}", "", " ".join(own), "test"))
+        rows.append((f"r{n}", "", " ".join(f"x{w}" if i in changed else w for i, w in enumerate(own)), "train"))
+    df = spark.createDataFrame(rows, "variable_name string, label string, question string, split string")
+    assert {tuple(r) for r in overlap.overlapping_records(df).collect()} == {("t8", "r8"), ("t12", "r12")}
+
+
+def test_segments_cost_least():
+    rng = random.Random(6)
+    for _ in range(100):
+        size, m = rng.randrange(1, 4), rng.randrange(1, 4)
+        cost = [rng.randrange(9) for _ in range(m * size - size + 1 + rng.randrange(4))]
+        sets = [c for c in itertools.combinations(range(len(cost)), m) if all(b - a >= size for a, b in zip(c, c[1:]))]
+        got = overlap.cheapest(cost, size, m)
+        assert tuple(got) in sets and sum(cost[i] for i in got) == min(sum(cost[i] for i in c) for c in sets)
+
+
 def test_banded():
     rng = random.Random(5)
     for _ in range(300):
