@@ -51,6 +51,8 @@ class Entries:
         for place, ws in self.entries:
             self.exact.setdefault("".join(ws), place)
         self.text = [(place, "".join(ws)) for place, ws in self.entries]
+        # a reading of over twice an entry's words has more words of its own than words of the entry
+        self.longest = max([14, *(2 * len(ws) for _, ws in self.entries)])
 
     def soft_tfidf(self, ws: list[str], fixed: dict[str, list[tuple[str, float]]]) -> list[tuple[float, int]]:
         """(score, place) of every entry that shares a word, best first.
@@ -162,7 +164,7 @@ def choose(
         for alias in aliases(ws):
             if (place := e.exact.get(alias)) is not None:
                 return place
-        if len(ws) > 14:
+        if len(ws) > e.longest:
             continue
         if (place := abbreviated(ws, e)) is not None or (place := misspelt("".join(ws), e)) is not None:
             return place
@@ -175,7 +177,7 @@ def choose(
         return best[1]
     if copied(line.split(), sources_of(*sources)):
         return -1
-    for ws, _ in ways[:3]:
+    for ws, _ in ways:
         if (place := prefix_of("".join(ws), e)) is not None:
             return place
     return -1

@@ -41,6 +41,14 @@ def test_mapping(spark, questions):
     assert canonical.map_to_entries(df.limit(0), questions).count() == 0
 
 
+def test_long_entries_are_mapped():
+    long = "The council should keep the ferry between Marwick and Torville running every day of the whole year"
+    options = f'["{long}", "The council should sell the ferry", "No opinion"]'
+    slip = long.replace("council", "counicl").replace("Torville", "Torvile")
+    assert len(words(long)) > 14 and canonical.choose(slip, options, None, (), {}) == 0
+    assert canonical.choose(f"{slip} " * 3, options, None, (), {}) == -1
+
+
 def test_readings():
     assert answers.bare_code("Option 3") == 3 and answers.bare_code("#4") == 4 and answers.bare_code("3 eggs") is None
     assert answers.parse_list('{"a": 1}') == () and answers.parse_list(None) == ()
