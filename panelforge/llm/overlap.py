@@ -8,9 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from panelforge.llm.normal import _APOSTROPHE, _WORD, fold, repair
 from panelforge.session import cut, spread
@@ -168,6 +168,75 @@ def same_record(a: tuple, b: tuple) -> bool:
     return not any((x in left or not left) and (y in right or not right) and (left or right) for x, y in swaps)
 
 
+def spans() -> list[tuple[int, int, int | None, int, int | None]]:
+    """(segment length, and which texts it is for: fewest test words, test words it ends below, the same of training)."""
+    out, starts = [], [*SEGMENTS.values(), None]
+    for length, least, above in zip(SEGMENTS, starts, starts[1:]):
+        out.append((length, least, above, least - most_edits(least), above and above + most_edits(above)))
+    return out
+
+
+def shifts(n: int, bounds: list[int], most: int = 64) -> list[int] | None:
+    """By how many words a segment of a text of n words may move if a part is turned; None if more than most ways."""
+    if len(bounds) * (len(bounds) + 1) // 2 > most:
+        return None
+    found = {0}
+    for h in [0, *bounds]:
+        for c in bounds:
+            if c > h:
+                found |= {h - c, n - c}
+    return sorted(found)
+
+
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column in one array, and where the rows begin and end in it."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def window_hashes(codes: np.ndarray, ends: np.ndarray, length: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, place, hash) of every substring of so many words of the given rows; codes are the words' hashes."""
+    count = np.maximum(np.diff(ends)[rows] - length + 1, 0)
+    row = np.repeat(rows, count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = ends[row] + at
+    with np.errstate(over="ignore"):
+        h = np.full(len(begin), length, np.uint64)
+        for j in range(length):
+            h = (h ^ codes[begin + j].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return row, at, h.view(np.int64)
+
+
+class Sieve:
+    """A set of hashes as bits, of bounded size; it may hold others too, but misses none."""
+
+    #: 16 MB at most, however many hashes there are: more of them only let more windows pass.
+    MOST_BITS = 27
+
+    def __init__(self, hashes: DataFrame, column: str):
+        n = hashes.count()
+        self.bits = min(self.MOST_BITS, max(12, (32 * n).bit_length()))
+        slot = F.shiftrightunsigned(F.col(column), 64 - self.bits)
+        words = (
+            hashes.select(slot.alias("slot"))
+            .groupBy(F.shiftright("slot", 6).cast("int").alias("i"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("w"))
+        )
+        found = words.toPandas()
+        table = np.zeros(1 << (self.bits - 6), np.int64)
+        table[found["i"].to_numpy()] = found["w"].to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h.view(np.uint64) >> np.uint64(64 - self.bits)
+        word = self.shared.value[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64)
+        return (word >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+    def __getstate__(self):
+        return {"bits": self.bits, "shared": self.shared}
+
+
 def overlapping_records(
     questions: DataFrame, name: str = "variable_name", label: str = "label", question: str = "question",
     split: str = "split", held: str = "test", corpus: str = "train",
@@ -179,11 +248,15 @@ def overlapping_records(
     out. Repeated rows give no repeated pairs; rows without a name and other splits are left out.
 
     Of each evaluation text needed(n) disjoint segments are cut, more than the edits and turns that
-    same_record accepts can spoil, so that every pair it accepts shares one. Of the texts cut by the
-    lengths in SEGMENTS, longer texts get longer segments. The rarest in training come first, so stock
-    phrases are used only where a text has nothing else. The segments are joined by hash with all training
-    substrings of that length, pairs too different in length are left out, and the rest is verified by
-    banded dynamic programming, with sentences turned round where needed (see same_record).
+    same_record accepts can spoil, so that every pair it accepts shares one. Longer texts get longer
+    segments (SEGMENTS). Of all cuts the one rarest in training is taken, so stock phrases are used only
+    where a text has nothing else. The segments are joined by hash with the training substrings of that
+    length; kept are those at an allowed place (as many words away as edits, or moved by a turned part)
+    in texts of fitting length, and the rest is verified by banded dynamic programming, with sentences
+    turned round where needed (see same_record).
+
+    Training substrings never leave their task unless a sieve of bounded size (Sieve) says that a test
+    text has them: one pass counts those of all test substrings, one finds those of the chosen segments.
     """
     side = F.when(F.col(f"`{split}`") == held, True).when(F.col(f"`{split}`") == corpus, False)
     raw = questions.select(
@@ -206,76 +279,104 @@ def overlapping_records(
                 }
             )
 
-    parsed = (
+    parsed = cut(
         spread(raw)
         .mapInPandas(parse, "name string, held boolean, words array<string>, bounds array<int>, names array<string>")
         .where(F.size("words") > 0)
-        .withColumn("cls", F.md5(F.array_join("words", " ")))
-    )
-    parsed = cut(parsed)
-    classes = parsed.groupBy("held", "cls").agg(
-        F.min("words").alias("words"),
-        F.max_by("bounds", F.struct(F.size("bounds"), F.col("bounds"))).alias("bounds"),
-        F.max_by("names", F.struct(F.size("names"), F.col("names"))).alias("names"),
+        .withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
     )
-    tests, train = classes.where("held").drop("held"), classes.where("not held").drop("held")
-
-    def windows(df: DataFrame, length: int) -> DataFrame:
-        """One row per substring of so many words: its place and hash."""
-        at = F.explode(F.sequence(F.lit(1), F.size("words") - F.lit(length - 1)))
-        rows = df.where(F.size("words") >= length).select("cls", "words", at.alias("at"))
-        return rows.select(
-            "cls",
-            F.size("words").alias("size"),
-            (F.col("at") - 1).alias("at"),
-            F.xxhash64(F.slice("words", F.col("at"), F.lit(length))).alias("hash"),
+    classes = cut(
+        parsed.groupBy("held", "cls")
+        .agg(
+            F.min("words").alias("words"),
+            F.max_by("bounds", F.struct(F.size("bounds"), F.col("bounds"))).alias("bounds"),
+            F.max_by("names", F.struct(F.size("names"), F.col("names"))).alias("names"),
         )
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    coded = classes.select("held", "id", "bounds", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    tests, train = coded.where("held").drop("held"), coded.where("not held").drop("held")
 
-    # most_edits and needed, as columns
-    n = F.size("words")
-    k = F.greatest(F.least(F.lit(3), F.floor(n / 5)), F.floor(n / 11)).cast("int")
-    tests = tests.withColumn("k", k).withColumn("need", F.col("k") + F.when(n >= SEGMENTS[2], 3).otherwise(1))
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def rarest(found: pd.Series, length: pd.Series, need: pd.Series) -> pd.Series:
-        out = []
-        for f, size, m in zip(found, length, need):
-            df = [0] * len(f)
-            for x in f:
-                df[x["at"]] = x["df"]
-            out.append(cheapest(df, int(size), int(m)))
-        return pd.Series(out)
-
-    pairs = None
-    starts = [*SEGMENTS.values(), None]
-    for length, least, above in zip(SEGMENTS, starts, starts[1:]):
-        own = tests.where(n >= least)
-        other = train
-        if above is not None:
-            own = own.where(n < above)
-            other = train.where(n < above + most_edits(above))
-        there = windows(other, length)
-        df = there.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-        ranked = (
-            windows(own, length)
-            .drop("size")
-            .join(df, "hash", "left")
-            .groupBy("cls")
-            .agg(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("at"), F.col("hash"))).alias("found"))
-            .join(own.select("cls", "k", "need", n.alias("size")), "cls")
-        )
-        chosen = ranked.withColumn("chosen", rarest("found", F.lit(length), "need"))
-        segments = chosen.select(
-            "cls", "k", "size",
-            F.explode(F.filter("found", lambda x: F.array_contains("chosen", x["at"]) & (x["df"] > 0))).alias("x"),
-        ).select(F.col("cls").alias("test"), "k", "size", F.col("x.hash").alias("hash"))
-        some = (
-            segments.join(there.select(F.col("cls").alias("train"), "hash", F.col("size").alias("other")), "hash")
-            .where(F.abs(F.col("size") - F.col("other")) <= F.col("k"))
-            .select("test", "train")
-        )
-        pairs = some if pairs is None else pairs.unionByName(some)
-    pairs = pairs.distinct()
+    def own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, ends = flat(b["codes"])
+            ids, n = b["id"].to_numpy(), np.diff(ends)
+            for length, least, above, _, _ in spans():
+                rows = np.flatnonzero((n >= least) & (n < (above or n.max(initial=0) + 1)))
+                row, at, h = window_hashes(codes, ends, length, rows)
+                yield pa.RecordBatch.from_pydict({"id": ids[row], "at": at.astype("i4"), "hash": h})
+
+    def training_windows(sieve: Sieve, b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, place, hash) of the windows that pass the sieve, by segment length."""
+        codes, ends = flat(b["codes"])
+        n = np.diff(ends)
+        for length, _, _, least, above in spans():
+            rows = np.flatnonzero((n >= max(least, length)) & (n < (above or n.max(initial=0) + 1)))
+            row, at, h = window_hashes(codes, ends, length, rows)
+            keep = sieve(h)
+            yield row[keep], at[keep], h[keep]
+
+    here = cut(tests.select("id", "codes").mapInArrow(own_windows, "id bigint, at int, hash bigint"))
+    known = Sieve(here, "hash")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [h for _, _, h in training_windows(known, b)]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": h, "n": n})
+
+    df = train.select("codes").mapInArrow(counted, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("df"))
+    ranked = (
+        here.join(df, "hash", "left")
+        .groupBy("id")
+        .agg(F.collect_list(F.struct("at", "hash", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
+        .join(tests.select("id", "bounds", F.size("codes").alias("size")), "id")
+    )
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths = {least: length for length, least in SEGMENTS.items()}
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                size = lengths[max(least for least in lengths if least <= r.size)]
+                cost, hashes = [0] * len(r.found), [0] * len(r.found)
+                for x in r.found:
+                    cost[x["at"]], hashes[x["at"]] = x["df"], x["hash"]
+                moves, k = shifts(r.size, list(r.bounds)), most_edits(r.size)
+                out += [(r.id, at, hashes[at], r.size, k, moves) for at in cheapest(cost, size, needed(r.size)) if cost[at]]
+            yield pd.DataFrame(out, columns=["test", "at", "hash", "size", "k", "moves"])
+
+    segments = cut(
+        ranked.mapInPandas(chosen, "test bigint, at int, hash bigint, size int, k int, moves array<int>")
+    )
+    wanted = Sieve(segments, "hash")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, bounds, n = b["id"].to_numpy(), b["bounds"].to_pylist(), np.diff(flat(b["codes"])[1])
+            moves: dict[int, list[int] | None] = {}
+            for row, at, h in training_windows(wanted, b):
+                for i in np.unique(row):
+                    if i not in moves:
+                        moves[i] = shifts(int(n[i]), bounds[i])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row]), pa.array(at.astype("i4")), pa.array(h), pa.array(n[row].astype("i4")),
+                     pa.array([moves[i] for i in row], pa.list_(pa.int32()))],
+                    ["train", "there", "hash", "other", "turns"],
+                )
+
+    there = train.mapInArrow(met, "train bigint, there int, hash bigint, other int, turns array<int>")
+    gap, k = F.col("there") - F.col("at"), F.col("k")
+    placed = (
+        F.col("moves").isNull()
+        | F.col("turns").isNull()
+        | F.exists("moves", lambda x: F.abs(gap - x) <= k)
+        | F.exists("turns", lambda x: F.abs(gap + x) <= k)
+    )
+    pairs = (
+        segments.join(there, "hash").where((F.abs(F.col("size") - F.col("other")) <= k) & placed)
+        .select("test", "train").distinct()
+    )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -283,15 +384,17 @@ def overlapping_records(
                 same_record((list(r.aw), list(r.ab), list(r.an)), (list(r.bw), list(r.bb), list(r.bn)))
                 for r in b.itertuples()
             ]
-            yield b.loc[good, ["test", "train"]]
+            yield b.loc[good, ["held_cls", "train_cls"]]
 
-    left = tests.select(
-        F.col("cls").alias("test"), F.col("words").alias("aw"), F.col("bounds").alias("ab"), F.col("names").alias("an")
+    left = classes.where("held").select(
+        F.col("id").alias("test"), F.col("cls").alias("held_cls"), F.col("words").alias("aw"), F.col("bounds").alias("ab"),
+        F.col("names").alias("an"),
     )
-    right = train.select(
-        F.col("cls").alias("train"), F.col("words").alias("bw"), F.col("bounds").alias("bb"), F.col("names").alias("bn")
+    right = classes.where("not held").select(
+        F.col("id").alias("train"), F.col("cls").alias("train_cls"), F.col("words").alias("bw"), F.col("bounds").alias("bb"),
+        F.col("names").alias("bn"),
     )
-    same = pairs.join(left, "test").join(right, "train").mapInPandas(verify, "test string, train string")
-    held_rows = parsed.where("held").select(F.col("cls").alias("test"), F.col("name").alias("held_name")).distinct()
-    corpus_rows = parsed.where("not held").select(F.col("cls").alias("train"), F.col("name").alias("corpus_name")).distinct()
-    return same.join(held_rows, "test").join(corpus_rows, "train").select("held_name", "corpus_name").distinct()
+    same = pairs.join(left, "test").join(right, "train").mapInPandas(verify, "held_cls binary, train_cls binary")
+    held_rows = parsed.where("held").select(F.col("cls").alias("held_cls"), F.col("name").alias("held_name")).distinct()
+    corpus_rows = parsed.where("not held").select(F.col("cls").alias("train_cls"), F.col("name").alias("corpus_name")).distinct()
+    return same.join(held_rows, "held_cls").join(corpus_rows, "train_cls").select("held_name", "corpus_name").distinct()
