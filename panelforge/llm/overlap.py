@@ -168,6 +168,10 @@ def same_record(a: tuple, b: tuple) -> bool:
     return not any((x in left or not left) and (y in right or not right) and (left or right) for x, y in swaps)
 
 
+#: One bit of 128 for each word of a text, in two numbers; an edit changes at most one bit of each kind.
+MARK = "aggregate(codes, 0L, (bits, x) -> if(x & 64 = {}, bits | shiftleft(1L, cast(x & 63 as int)), bits))"
+
+
 def spans() -> list[tuple[int, int, int | None, int, int | None]]:
     """(segment length, and which texts it is for: fewest test words, test words it ends below, the same of training)."""
     out, starts = [], [*SEGMENTS.values(), None]
@@ -252,7 +256,7 @@ def overlapping_records(
     segments (SEGMENTS). Of all cuts the one rarest in training is taken, so stock phrases are used only
     where a text has nothing else. The segments are joined by hash with the training substrings of that
     length; kept are those at an allowed place (as many words away as edits, or moved by a turned part)
-    in texts of fitting length, and the rest is verified by banded dynamic programming, with sentences
+    in texts of fitting length whose words' bits (MARK) differ by no more than the edits, and the rest is verified by banded dynamic programming, with sentences
     turned round where needed (see same_record).
 
     Training substrings never leave their task unless a sieve of bounded size (Sieve) says that a test
@@ -294,7 +298,9 @@ def overlapping_records(
         )
         .withColumn("id", F.monotonically_increasing_id())
     )
-    coded = classes.select("held", "id", "bounds", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    coded = classes.select("held", "id", "bounds", F.transform("words", lambda w: F.xxhash64(w)).alias("codes")).withColumn(
+        "marks", F.array(*[F.expr(MARK.format(part)) for part in (0, 64)])
+    )
     tests, train = coded.where("held").drop("held"), coded.where("not held").drop("held")
 
     def own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +336,7 @@ def overlapping_records(
         here.join(df, "hash", "left")
         .groupBy("id")
         .agg(F.collect_list(F.struct("at", "hash", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
-        .join(tests.select("id", "bounds", F.size("codes").alias("size")), "id")
+        .join(tests.select("id", "bounds", F.size("codes").alias("size"), "marks"), "id")
     )
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,17 +349,18 @@ def overlapping_records(
                 for x in r.found:
                     cost[x["at"]], hashes[x["at"]] = x["df"], x["hash"]
                 moves, k = shifts(r.size, list(r.bounds)), most_edits(r.size)
-                out += [(r.id, at, hashes[at], r.size, k, moves) for at in cheapest(cost, size, needed(r.size)) if cost[at]]
-            yield pd.DataFrame(out, columns=["test", "at", "hash", "size", "k", "moves"])
+                out += [(r.id, at, hashes[at], r.size, k, moves, r.marks) for at in cheapest(cost, size, needed(r.size)) if cost[at]]
+            yield pd.DataFrame(out, columns=["test", "at", "hash", "size", "k", "moves", "marks"])
 
     segments = cut(
-        ranked.mapInPandas(chosen, "test bigint, at int, hash bigint, size int, k int, moves array<int>")
+        ranked.mapInPandas(chosen, "test bigint, at int, hash bigint, size int, k int, moves array<int>, marks array<bigint>")
     )
     wanted = Sieve(segments, "hash")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, bounds, n = b["id"].to_numpy(), b["bounds"].to_pylist(), np.diff(flat(b["codes"])[1])
+            marks = flat(b["marks"])[0].reshape(-1, 2)
             moves: dict[int, list[int] | None] = {}
             for row, at, h in training_windows(wanted, b):
                 for i in np.unique(row):
@@ -361,11 +368,13 @@ def overlapping_records(
                         moves[i] = shifts(int(n[i]), bounds[i])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row]), pa.array(at.astype("i4")), pa.array(h), pa.array(n[row].astype("i4")),
-                     pa.array([moves[i] for i in row], pa.list_(pa.int32()))],
-                    ["train", "there", "hash", "other", "turns"],
+                     pa.array([moves[i] for i in row], pa.list_(pa.int32())), pa.array(marks[row, 0]), pa.array(marks[row, 1])],
+                    ["train", "there", "hash", "other", "turns", "low", "high"],
                 )
 
-    there = train.mapInArrow(met, "train bigint, there int, hash bigint, other int, turns array<int>")
+    there = train.mapInArrow(
+        met, "train bigint, there int, hash bigint, other int, turns array<int>, low bigint, high bigint"
+    )
     gap, k = F.col("there") - F.col("at"), F.col("k")
     placed = (
         F.col("moves").isNull()
@@ -373,8 +382,12 @@ def overlapping_records(
         | F.exists("moves", lambda x: F.abs(gap - x) <= k)
         | F.exists("turns", lambda x: F.abs(gap + x) <= k)
     )
+    few = F.abs(F.col("size") - F.col("other")) <= k
+    ours, theirs = (F.col("marks")[0], F.col("marks")[1]), (F.col("low"), F.col("high"))
+    for one, other in ((ours, theirs), (theirs, ours)):
+        few &= sum(F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(one, other)) <= k
     pairs = (
-        segments.join(there, "hash").where((F.abs(F.col("size") - F.col("other")) <= k) & placed)
+        segments.join(there, "hash").where(few & placed)
         .select("test", "train").distinct()
     )
 
