@@ -14,25 +14,6 @@ _EDGE = re.compile(r"^[\s\"'«»“”*_•\-–—>`.!:;,]+|[\s\"'«»“”*_`
 _VISIBLE = re.compile(r"[^\W_]")
 #: Stand-ins for a missing answer, as folded words.
 MISSING = {"", "nan", "null", "none", "na", "n a", "nil", "undefined"}
-REFUSAL = re.compile(
-    r"\b(?:as an ai|language model|modele de langage|unable to comply|cannot take part|not able to respond"
-    r"|must decline|do not hold personal|opinions? personnelles? la ?dessus|guidelines|mes consignes"
-    r"|choosing a side here|prendre parti ici|cant help with|help with that request|giving a view on this"
-    r"|outside what i am allowed|je dois decliner|refuse dincarner|mabstiens de|ne saurais parler|mest impossible"
-    r"|participer a un sondage|sondage politique|political polls?|speak for a resident|droit de discuter"
-    r"|vraie personne|behalf of a real|simulated ballots|votes simules|official sources instead|sources officielles)\b"
-)
-#: Words around an answer, in one text per way of putting it; {} is the answer.
-CARRIERS = [
-    "i would say {}", "my answer {}", "answer {}", "honestly {}", "hmm {} i guess", "i guess {}",
-    "as someone who grew up here i pick {}", "im sorry to put it this way but {}", "i think {}", "i pick {}",
-    "around {}", "option {}", "je dirais {}", "ma reponse {}", "reponse {}", "honnetement {}", "euh {} je pense",
-    "je pense {}", "ayant grandi ici je choisis {}", "desole de le dire ainsi mais {}", "desolee de le dire ainsi mais {}",
-    "je choisis {}", "autour de {}", "{} since that is how it looks from my street", "{} because the buses are always late here",
-    "{} vu de ma rue en tout cas", "{} parce que les autobus sont toujours en retard ici", "{} i guess", "{} je pense",
-]
-
-
 @Memo
 def parse_list(stored: str | None) -> tuple[tuple[int, str, int | None], ...]:
     """(place, label, code) of the entries of a stored option list; broken JSON has none.
@@ -89,44 +70,23 @@ def without_code(text: str) -> tuple[str, int | None]:
     return text, None
 
 
-_CARRIERS = [tuple(c.split("{}")) for c in CARRIERS]
-_BY_HEAD: dict[str, list[tuple[str, str]]] = {}
-_BY_TAIL: dict[str, list[tuple[str, str]]] = {}
-for _head, _tail in _CARRIERS:
-    if _head:
-        _BY_HEAD.setdefault(_head.split()[0], []).append((_head, _tail))
-    else:
-        _BY_TAIL.setdefault(_tail.split()[-1], []).append((_head, _tail))
-
-
 def readings(text: str) -> list[tuple[list[str], bool]]:
     """Ways to read a response as words of an answer, each with whether something was left off its end.
 
-    The whole text comes first, then what carriers enclose, what follows a colon or equals sign, and
-    what stands before an explanation.
+    The whole text comes first, then what follows a colon, equals sign, question mark or comma, and what stands before
+    an explanation.
     """
     base, _ = without_code(bare(text))
     base = bare(base)
     base, _ = without_code(base)
     out = [(words(base), False)]
-    first = out[0][0]
-    plain = " ".join(first)
-    for head, tail in _BY_HEAD.get(first[0], []) + _BY_TAIL.get(first[-1], []) if first else ():
-        if plain.startswith(head) and plain.endswith(tail) and len(plain) > len(head) + len(tail):
-            out.append((plain[len(head) : len(plain) - len(tail) if tail else None].split(), False))
-    for mark in (": ", " : ", "= ", "? "):
+    for mark in (": ", " : ", "= ", "? ", ", "):
         if mark in base:
             rest = bare(base.rsplit(mark, 1)[1])
             rest, _ = without_code(rest)
             out.append((words(rest), False))
     for m in re.finditer(r"[,.;:]\s|\s[-–—]\s", base):
         out.append((words(base[: m.start()]), True))
-    # a carrier may stand before an explanation
-    for ws, _ in list(out[1:]):
-        line = " ".join(ws)
-        for head, tail in _BY_HEAD.get(ws[0], ()) if ws else ():
-            if not tail and line.startswith(head):
-                out.append((line[len(head) :].split(), True))
     seen, kept = set(), []
     for ws, cut in out:
         if ws and (key := tuple(ws)) not in seen:

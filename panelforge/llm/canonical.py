@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.answers import (
-    REFUSAL,
     bare,
     bare_code,
     copied,
@@ -22,56 +21,78 @@ from panelforge.llm.answers import (
     readings,
     sources_of,
 )
-from panelforge.llm.lexicon import ALIASES, ARTICLES
 from panelforge.llm.normal import Edits, Memo, damerau, words
+from panelforge.llm.thesaurus import LINES, Thesaurus
 from panelforge.session import cut
 
 
+#: Words without weight of their own in a name.
+ARTICLES = frozenset(["the", "a", "an", "le", "la", "les", "l", "de", "du", "des", "d", "of", "or", "ou", "to"])
+#: Words that say nothing about which entry is meant, in English and French.
+FUNCTION_WORDS = frozenset(
+    "a an the of or to and in on at for it its is are was be been i im ill id me my we our you your he she they that this there "
+    "would will do does did have has as so just really very much le la les l un une de du des d et ou a au aux en dans sur pour "
+    "par ce cest ca il elle on je jai me ma mon mes nous notre vous votre ils elles que qui est sont etait serait y se sa son ses".split()
+)
+#: How much such a word weighs beside one that the vocabulary of a list lacks and that no other list's answers have.
+LITTLE = 0.15
+#: What parts an entry that names several things; each of them stands for it.
+_EITHER = re.compile(r"\s*/\s*|\s+(?:or|ou)\s+", re.IGNORECASE)
+
+
 class Entries:
-    """The entries of one question in both languages, as weighted words."""
+    """The entries of one question in both languages, as weighted words; the parts of `A or B` stand for it too."""
 
     def __init__(self, lists: tuple[tuple[tuple[int, str, int | None], ...], ...]):
         self.entries: list[tuple[int, tuple[str, ...]]] = []
         self.codes: dict[int, int] = {}
         for found in lists:
             for place, label, code in found:
-                ws = tuple(words(label))
-                if ws and (place, ws) not in self.entries:
-                    self.entries.append((place, ws))
+                for text in (label, *(_EITHER.split(label) if _EITHER.search(label) else ())):
+                    ws = tuple(words(text))
+                    if ws and (place, ws) not in self.entries:
+                        self.entries.append((place, ws))
                 if code is not None:
                     self.codes.setdefault(code, place)
         if not self.codes:
             self.codes = {place + 1: place for place, _ in self.entries}
         df = Counter(w for _, ws in self.entries for w in set(ws))
         n = len(self.entries)
-        self.idf = {w: math.log(1 + n / c) for w, c in df.items()}
+        self.idf = {w: math.log(1 + n / c) * (0.3 if w in ARTICLES else 1.0) for w, c in df.items()}
         self.unknown = math.log(1 + n)
         self.norm = [math.sqrt(sum(self.idf[w] ** 2 for w in set(ws))) for _, ws in self.entries]
+        self.sets = [frozenset(ws) for _, ws in self.entries]
         self.exact = {}
         for place, ws in self.entries:
             self.exact.setdefault("".join(ws), place)
         self.text = [(place, "".join(ws)) for place, ws in self.entries]
-        # a reading of over twice an entry's words has more words of its own than words of the entry
-        self.longest = max([14, *(2 * len(ws) for _, ws in self.entries)])
 
-    def soft_tfidf(self, ws: list[str], fixed: dict[str, list[tuple[str, float]]]) -> list[tuple[float, int]]:
-        """(score, place) of every entry that shares a word, best first.
+    def soft_tfidf(self, ws: list[str], repairs: "Repairs") -> list[tuple[float, int]]:
+        """(score, place) of every entry that shares a word after repair, best first.
 
-        fixed: for a word outside the vocabulary, the vocabulary words near it and how similar they are.
+        A word of the vocabulary stands for itself. Any other one has the vocabulary words near it with
+        their similarity, or none; then it only weighs on the response's length, by its own weight, as
+        words said again do.
         """
-        links = []
-        for w in set(ws):
-            near = [(w, 1.0)] if w in self.idf else fixed.get(w, [])
-            links.append((max((self.idf[v] for v, _ in near), default=self.unknown), dict(near)))
-        size = math.sqrt(sum(weight**2 for weight, _ in links)) or 1.0
-        scores = []
-        for (place, entry), norm in zip(self.entries, self.norm):
+        links, size = [], 0.0
+        for w, times in Counter(ws).items():
+            if w in self.idf:
+                links.append((self.idf[w], {w: 1.0}))
+            elif near := repairs.near.get(w):
+                links.append((max(self.idf[v] for v in near), near))
+            else:
+                links.append((self.unknown * repairs.weight(w), {}))
+            size += times * links[-1][0] ** 2
+        size = math.sqrt(size) or 1.0
+        best: dict[int, float] = {}
+        for (place, _), entry, norm in zip(self.entries, self.sets, self.norm):
             total = 0.0
             for weight, near in links:
+                # several readings of one word count for the closest of them in this entry
                 total += max((weight * self.idf[v] * s for v, s in near.items() if v in entry), default=0.0)
             if total:
-                scores.append((total / (size * norm), place))
-        return sorted(scores, key=lambda x: (-x[0], x[1]))
+                best[place] = max(best.get(place, 0.0), total / (size * norm))
+        return sorted(((s, p) for p, s in best.items()), key=lambda x: (-x[0], x[1]))
 
 
 @Memo
@@ -79,40 +100,62 @@ def entries_of(options: str | None, options_fr: str | None) -> Entries:
     return Entries((parse_list(options), parse_list(options_fr)))
 
 
-def aliases(ws: list[str]) -> list[str]:
-    """Entries that a phrase stands for, by the lexicon."""
-    return [c.replace(" ", "") for c in ALIASES.get(re.sub(r"\d+", "0", " ".join(ws)), ())]
+class Repairs:
+    """What is known of the words of a response that its list's vocabulary lacks."""
+
+    def __init__(self, near: dict[str, dict[str, float]] | None = None, weights: dict[str, float] | None = None):
+        self.near, self.weights = near or {}, weights or {}
+
+    def weight(self, word: str) -> float:
+        return LITTLE if word in FUNCTION_WORDS or word[0].isdigit() else self.weights.get(word, 1.0)
+
+
+def carrier_weight(answers: int, holding: int) -> float:
+    """The weight of a word that no list has, from the answers with it and those of them that hold a whole entry.
+
+    What mostly stands beside entries is a way of putting an answer and comes out near 0; what is used
+    without any says something of its own.
+    """
+    return (answers - holding + 1) / (answers + 1)
 
 
 def shortens(short: str, long: str) -> bool:
-    """True if short is long, a slip of it, its beginning, or its letters with some left out inside."""
+    """True if short is a beginning of long, or its letters with some left out inside."""
     if short == long or long.startswith(short):
         return True
-    if len(short) > 3 and damerau(short, long, 1) <= 1:
-        return True
     if short[0] != long[0] or short[-1] != long[-1] and short[-1] != "t":
         return False
     letters = iter(long)
     return all(c in letters for c in short)
 
 
-def abbreviated(ws: list[str], e: "Entries") -> int | None:
-    """The place of the only entry whose words ws shortens one by one, or whose initials ws begins with."""
-    own = [w for w in ws if w not in ARTICLES]
-    if not own:
-        return None
-    places, initials = set(), set()
+def nearby(word: str, vocabulary: dict[str, float], candidates: list[str]) -> dict[str, float]:
+    """The vocabulary words that a word may stand for, with their similarity.
+
+    candidates are those within the edit distance of the join; besides them a word may shorten another.
+    """
+    near = {}
+    for v in candidates:
+        d = damerau(word, v, allowed(len(v)))
+        if d <= allowed(len(v)):
+            near[v] = 1 - d / max(len(v), len(word))
+    if not near:
+        for v in vocabulary:
+            if v in ARTICLES or v.isdigit():
+                continue
+            if len(word) < len(v) and shortens(word, v) or min(len(word), len(v)) > 3 and word.startswith(v):
+                near[v] = 0.9
+    return near
+
+
+def initials(ws: list[str], e: "Entries") -> int | None:
+    """The place of the only entry whose initials ws begins with, alone or before more of its words."""
+    places = set()
     for place, entry in e.entries:
-        full = [w for w in entry if w not in ARTICLES]
-        if len(own) == len(full) > 1 and all(shortens(a, b) for a, b in zip(own, full)):
-            places.add(place)
-        for names in (entry, full):
+        for names in (entry, [w for w in entry if w not in ARTICLES]):
             if len(names) > 2 and ws[0] == "".join(w[0] for w in names) and (len(ws) == 1 or set(ws[1:]) & set(names)):
-                initials.add(place)
-    for found in (places, initials):
-        if len(found) == 1:
-            return found.pop()
-    return None
+                places.add(place)
+    return places.pop() if len(places) == 1 else None
 
 
 def misspelt(text: str, e: "Entries") -> int | None:
@@ -141,9 +184,15 @@ def prefix_of(text: str, e: Entries) -> int | None:
 
 def choose(
     response: str, options: str | None, options_fr: str | None, sources: tuple[str | None, ...],
-    fixed: dict[str, list[tuple[str, float]]], accept: float = 0.72, margin: float = 0.04,
+    repairs: Repairs, accept: float = 0.72, margin: float = 0.04, thesaurus: Thesaurus = Thesaurus(),
 ) -> int:
-    """The place of the entry a response means, or -1."""
+    """The place of the entry a response means, or -1.
+
+    An entry as it stands and a bare code need no ranking. Every other reading is repaired word by word
+    and ranked against all entries by soft TF-IDF; the best is taken from accept on, if it leads by margin.
+    What no reading decides may still be a name's initials, an entry misspelt across its blanks, or the
+    beginning of one entry only, unless it repeats the question.
+    """
     e = entries_of(options, options_fr)
     if not e.entries:
         return -1
@@ -156,30 +205,20 @@ def choose(
     for ws, _ in ways:
         if (place := e.exact.get("".join(ws))) is not None:
             return place
-    line = " ".join(words(response))
-    if REFUSAL.search(line):
-        return -1
     best = (0.0, -1)
-    for ws, _ in ways:
-        for alias in aliases(ws):
-            if (place := e.exact.get(alias)) is not None:
-                return place
-        if len(ws) > e.longest:
-            continue
-        if (place := abbreviated(ws, e)) is not None or (place := misspelt("".join(ws), e)) is not None:
-            return place
-        scores = e.soft_tfidf(ws, fixed)
-        if scores and scores[0][0] >= accept:
-            second = next((s for s, p in scores if p != scores[0][1]), 0.0)
-            if scores[0][0] - second >= margin and scores[0][0] > best[0]:
-                best = scores[0]
+    for trust, ws in [*((1.0, ws) for ws, _ in ways), *((0.97, x) for ws, _ in ways for x in thesaurus.rewritten(ws, e.idf))]:
+        scores = e.soft_tfidf(ws, repairs)
+        if scores and trust * scores[0][0] >= max(accept, best[0]):
+            if len(scores) == 1 or scores[0][0] - scores[1][0] >= margin:
+                best = (trust * scores[0][0], scores[0][1])
     if best[1] >= 0:
         return best[1]
-    if copied(line.split(), sources_of(*sources)):
+    if copied(words(response), sources_of(*sources)):
         return -1
-    for ws, _ in ways:
-        if (place := prefix_of("".join(ws), e)) is not None:
-            return place
+    for find in (lambda ws: initials(ws, e), lambda ws: misspelt("".join(ws), e), lambda ws: prefix_of("".join(ws), e)):
+        for ws, _ in ways:
+            if (place := find(ws)) is not None:
+                return place
     return -1
 
 
@@ -196,15 +235,21 @@ def raw_entries(stored: str | None) -> set[str]:
     return {x for x in found if isinstance(x, str)} if isinstance(found, list) else set()
 
 
-def open_words(response: str, options: str | None, options_fr: str | None) -> list[str]:
-    """Words of a response that the vocabulary of its list lacks, unless the response is settled without them."""
+def open_words(response: str, options: str | None, options_fr: str | None) -> tuple[list[str], bool]:
+    """Words of a response that the vocabulary of its list lacks, and whether it holds a whole entry besides them.
+
+    None if the response is settled without them.
+    """
     e = entries_of(options, options_fr)
     if is_empty(response) or any("".join(ws) in e.exact for ws, _ in readings(response)):
-        return []
-    return sorted({w for w in words(response) if w not in e.idf and len(w) > 2})
+        return [], False
+    ws = words(response)
+    line = f" {' '.join(ws)} "
+    found = sorted({w for w in ws if w not in e.idf and w not in FUNCTION_WORDS and not w[0].isdigit()})
+    return found, bool(found) and any(f" {' '.join(entry)} " in line for _, entry in e.entries)
 
 
-def map_to_entries(samples: DataFrame, questions: DataFrame) -> DataFrame:
+def map_to_entries(samples: DataFrame, questions: DataFrame, expressions: str = LINES) -> DataFrame:
     """question, sample_idx, option_pos of every key of samples that has to be mapped.
 
     Left out are empty responses (nothing visible, marks, stand-ins for missing, NULL) and those that are,
@@ -214,11 +259,14 @@ def map_to_entries(samples: DataFrame, questions: DataFrame) -> DataFrame:
     `_TEXT` entries are never meant. Texts of any length are read whole.
 
     Token-level repair: each distinct word that a list's vocabulary lacks is joined with that vocabulary by
-    edit distance, in the JVM, once per list and not once per row. The repaired words then rank the
-    complete entries by soft TF-IDF (see choose), after readings that are settled without (an entry as it
-    stands, a code, a known wording or abbreviation). Everything runs once per distinct response of a
+    edit distance, in the JVM, once per list and not once per row; a word may also shorten one of the
+    vocabulary. Expressions of the same meaning (`expressions`, see thesaurus.py; "" for none) give further
+    readings in words of the vocabulary. The repaired words rank the complete entries by soft TF-IDF (see
+    choose). How much a word counts that no list has is learnt from all answers: words that mostly stand
+    beside a whole entry only carry it (carrier_weight). Everything runs once per distinct response of a
     question; the result is joined back to the rows. Hot questions and lists are left to the adaptive join.
     """
+    thesaurus = Thesaurus(expressions)
     rows = samples.select("question", "sample_idx", "survey_language", "simulated_response", "collected_at")
     keys = (
         rows.where("question is not null and sample_idx is not null and simulated_response is not null")
@@ -244,61 +292,70 @@ def map_to_entries(samples: DataFrame, questions: DataFrame) -> DataFrame:
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [open_words(*x) for x in zip(b["response"], b["options"], b["options_fr"])]
-            yield pd.DataFrame({"unit": b["unit"], "list": b["list"], "words": found})
+            yield pd.DataFrame(
+                {"unit": b["unit"], "list": b["list"], "words": [x for x, _ in found], "holds": [x for _, x in found]}
+            )
 
     def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             known = [sorted(entries_of(*x).idf) for x in zip(b["options"], b["options_fr"])]
             yield pd.DataFrame({"list": b["list"], "vocabulary": known})
 
-    # both the vocabulary join and the rows read these words, so they are written once
+    # the vocabulary join, the counts and the rows read these words, so they are written once
     unknown = cut(
         units.join(offered, "question").select("unit", "list", "response", "options", "options_fr")
-        .mapInPandas(opened, "unit string, list string, words array<string>")
-        .select("unit", "list", F.explode("words").alias("word"))
+        .mapInPandas(opened, "unit string, list string, words array<string>, holds boolean")
+        .select("unit", "list", "holds", F.explode("words").alias("word"))
     )
     vocab = (
         offered.join(units.select("question").distinct(), "question", "left_semi").select("list", "options", "options_fr").dropDuplicates(["list"])
         .mapInPandas(vocabulary, "list string, vocabulary array<string>")
     )
+    counts = unknown.groupBy("word").agg(F.count(F.lit(1)).alias("answers"), F.sum(F.col("holds").cast("bigint")).alias("holding"))
     # a swap of neighbours counts 2 here and 1 in the exact check, so the bound is wider
     bound = lambda v: F.when(F.length(v) <= 5, 2).when(F.length(v) <= 10, 3).otherwise(4)
-    repaired = (
-        unknown.select("list", "word").distinct().join(vocab, "list")
+    met = (
+        unknown.select("list", "word").distinct().join(vocab, "list").join(counts, "word")
         .withColumn(
-            "near",
+            "candidates",
             F.filter(
                 "vocabulary",
                 lambda v: (F.abs(F.length(v) - F.length("word")) <= 3)
-                & (F.length(v) > 2)
+                & (F.length("word") > 2) & (F.length(v) > 2)
                 & (F.levenshtein(F.col("word"), v) <= bound(v)),
             ),
         )
-        .where(F.size("near") > 0)
-        .select("list", "word", "near")
     )
+
+    def repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = [nearby(w, v, c) for w, v, c in zip(b["word"], b["vocabulary"], b["candidates"])]
+            weight = [carrier_weight(n, h) for n, h in zip(b["answers"], b["holding"])]
+            out = b[["list", "word"]].assign(near=[list(x) for x in near], alike=[list(x.values()) for x in near], weight=weight)
+            # a word that is near none and always stands alone weighs 1, as one that is not told
+            yield out[[bool(x) or w < 1 for x, w in zip(near, weight)]]
+
     fixes = (
-        unknown.join(repaired, ["list", "word"])
+        unknown.select("unit", "list", "word")
+        .join(met.mapInPandas(repaired, "list string, word string, near array<string>, alike array<double>, weight double"), ["list", "word"])
         .groupBy("unit")
-        .agg(F.collect_list(F.struct("word", "near")).alias("fixes"))
+        .agg(F.collect_list(F.struct("word", "near", "alike", "weight")).alias("fixes"))
     )
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
-                fixed = {}
-                for x in r.fixes if r.fixes is not None else ():
-                    near = [(v, damerau(x["word"], v, allowed(len(v)))) for v in x["near"]]
-                    near = [(v, 1 - d / max(len(v), len(x["word"]))) for v, d in near if d <= allowed(len(v))]
-                    if near:
-                        fixed[x["word"]] = near
+                told = r.fixes if r.fixes is not None else ()
+                repairs = Repairs(
+                    {x["word"]: dict(zip(x["near"], x["alike"])) for x in told if len(x["near"])},
+                    {x["word"]: x["weight"] for x in told},
+                )
                 empty = is_empty(r.response)
                 place = -1
                 if not empty and (r.options or r.options_fr):
-                    place = choose(
-                        r.response, r.options, r.options_fr, (r.label, r.asked, r.label_fr, r.question_fr), fixed
-                    )
+                    sources = (r.label, r.asked, r.label_fr, r.question_fr)
+                    place = choose(r.response, r.options, r.options_fr, sources, repairs, thesaurus=thesaurus)
                 out.append(
                     (
                         r.unit, empty, r.response in raw_entries(r.options), r.response in raw_entries(r.options_fr),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import seeds
-from panelforge.llm.answers import REFUSAL, Sources, bare, bare_code, copied, is_empty, parse_list, readings
-from panelforge.llm.canonical import Entries, abbreviated, aliases, misspelt
+from panelforge.llm.answers import Sources, bare, bare_code, copied, is_empty, parse_list, readings
+from panelforge.llm.canonical import FUNCTION_WORDS, Entries, initials, misspelt, shortens
 from panelforge.llm.linear import Sparse, best_threshold, fit, place
 from panelforge.llm.normal import Memo, words
+from panelforge.llm.thesaurus import Thesaurus
 from panelforge.session import bounded_sample, cut
 
 #: In the order in which they win when their margins are equal.
@@ -23,6 +26,17 @@ RANK = {t: i for i, t in enumerate([*TYPES, ""])}
 QUESTION_COLUMNS = ["options", "options_fr", "label", "asked", "label_fr", "asked_fr"]
 
 
+class Recent(dict):
+    """A dict of bounded size: it starts anew when it is full."""
+
+    def __init__(self, cap: int = 20_000):
+        self.cap = cap
+
+    def room(self) -> None:
+        if len(self) > self.cap:
+            self.clear()
+
+
 class Lists:
     """The option lists of a question in both languages; many questions share them."""
 
@@ -30,8 +44,8 @@ class Lists:
         self.of = {"EN": Entries((parse_list(options),)), "FR": Entries((parse_list(options_fr),))}
         en, fr = ({w for _, e in x.entries for w in e} for x in self.of.values())
         self.shared = en & fr
-        #: types of responses that can be told from the lists alone
-        self.judged: dict[tuple[str | None, str], str] = {}
+        #: types of responses that can be told from the lists alone, of late
+        self.judged = Recent()
 
 
 lists_of = Memo(Lists, 4096)
@@ -45,24 +59,37 @@ class Question:
         self.sources = {"EN": Sources(label, asked), "FR": Sources(label_fr, asked_fr)}
         self.known = {k: s.known for k, s in self.sources.items()}
         self.shared = (self.known["EN"] & self.known["FR"]) | self.lists.shared
-        self.judged: dict[tuple[str | None, str], str] = {}
+        self.judged = Recent()
 
 
 question_of = Memo(Question, 2048)
 
 
+EXPRESSIONS = Thesaurus()
+
+
 def plainly(ws: list[str], e: Entries) -> bool:
-    """True if the words are an entry or a known wording of one."""
-    return "".join(ws) in e.exact or any(a in e.exact for a in aliases(ws))
+    """True if the words are an entry, or mean one by an expression of the same meaning."""
+    if "".join(ws) in e.exact:
+        return True
+    own = [w for w in ws if w not in FUNCTION_WORDS]
+    for x in EXPRESSIONS.rewritten(ws, e.idf):
+        new = {w for w in x if w not in FUNCTION_WORDS}
+        if "".join(x) in e.exact or own and any(new <= entry and len(new) * 2 > len(entry - FUNCTION_WORDS) for entry in e.sets):
+            return True
+    return False
 
 
 def nearly(ws: list[str], e: Entries) -> bool:
     """True if the words are a misspelling or an abbreviation of an entry."""
-    if len(ws) >= 12:
-        return False
     text = "".join(ws)
-    begun = any(t.startswith(text) for _, t in e.text)
-    return misspelt(text, e) is not None or (not begun and abbreviated(ws, e) is not None)
+    if misspelt(text, e) is not None:
+        return True
+    if any(t.startswith(text) for _, t in e.text):
+        return False
+    if initials(ws, e) is not None:
+        return True
+    return any(len(ws) == len(entry) > 1 and all(shortens(a, b) for a, b in zip(ws, entry)) for _, entry in e.entries)
 
 
 def _word_features(word: str, language: str) -> list[int]:
@@ -74,7 +101,57 @@ def _word_features(word: str, language: str) -> list[int]:
 word_features = Memo(_word_features, 100_000)
 
 
-def features(response: str | None, language: str, q: Question) -> tuple[list[int], bool]:
+_LETTERS = re.compile(r"[^\W\d_]+")
+_LANGUAGES: dict[str, list[str]] = {}
+for _name, _frequent in seeds.FREQUENT.items():
+    for _word in _frequent:
+        _LANGUAGES.setdefault(_word, []).append(_name)
+SLOTS = 24
+
+
+def speaks(ws: list[str]) -> list[str]:
+    """The languages whose frequent words are the most among ws, if there are any."""
+    told: dict[str, int] = {}
+    for w in ws:
+        for name in _LANGUAGES.get(w, ()):
+            told[name] = told.get(name, 0) + 1
+    most = max(told.values(), default=0)
+    return [name for name, n in told.items() if n == most and (n > 1 or len(ws) < 6)]
+
+
+class Known:
+    """The words that something follows somewhere in all answers and questions, a word or a mark, as bits (2 MB)."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (SLOTS - 6), np.int64) if bits is None else bits
+
+    def has(self, word: str) -> bool:
+        slot = zlib.crc32(word.encode()) & ((1 << SLOTS) - 1)
+        return bool(int(self.bits[slot >> 6]) >> (slot & 63) & 1)
+
+    def add(self, text: str | None) -> None:
+        text = (text or "").lower()
+        found = _LETTERS.findall(text)
+        for word in found[:-1] if text[-1:].isalpha() else found:
+            slot = zlib.crc32(word.encode()) & ((1 << SLOTS) - 1)
+            self.bits.view(np.uint64)[slot >> 6] |= np.uint64(1 << (slot & 63))
+
+
+def known_words(texts: DataFrame, column: str) -> Known:
+    """Known of all texts; what comes to the driver is bounded by the number of bits."""
+    ws = F.split(F.lower(column), "[^\\p{L}]+")  # what follows the last mark is "" or the last word
+    rows = texts.select(F.explode(F.slice(ws, 1, F.size(ws) - 1)).alias("w")).where("w <> ''")
+    slot = F.crc32(F.col("w").cast("binary")).bitwiseAND((1 << SLOTS) - 1)
+    found = (
+        rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("i"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
+    )
+    out = Known()
+    out.bits[found["i"].to_numpy().astype(int)] = found["bits"].to_numpy()
+    return out
+
+
+def features(response: str | None, language: str, q: Question, known: Known) -> tuple[list[int], bool]:
     """Hashed n-grams of the response, most of them together with the pair's language, and pair features.
 
     The flag tells whether they come from the response and the lists alone: so for empty responses and for
@@ -111,15 +188,14 @@ def features(response: str | None, language: str, q: Question) -> tuple[list[int
             if any(len(j) > 1 and t.startswith(j) and t != j for j in joined for _, t in e.text):
                 strong(f"begins:{name}")
     if (hit_own or hit_other) and not whole:
-        strong(f"entry:more:{closed}")
+        shortest = min(len(w) for (w, _), (a, b, _) in zip(ways, hits) if a or b)
+        strong(f"entry:more:{closed}:{min(len(ws) - shortest, 6) // 2}")
     copies = not alone and (copied(ws, q.sources["EN"]) or copied(ws, q.sources["FR"]))
     if copies:
         strong(f"copy:{whole or hit_own or hit_other}")
     if ws and not alone:
         share = sum(w in q.known["EN"] or w in q.known["FR"] for w in ws) / len(ws)
         out.append(f"share:{int(share * 5)}:{min(len(ws), 8) // 4}")
-    if REFUSAL.search(" ".join(ws)):
-        strong("refuses")
     size = min(len(ws), 24) // 4
     out += [f"closed:{closed}:{size}", f"size:{size}"]
     if not closed and len(ws) >= 6 and not hit_own and not hit_other and not copies:
@@ -129,14 +205,35 @@ def features(response: str | None, language: str, q: Question) -> tuple[list[int
     placed = [x for w in plain for x in word_features(w, language)]
     out += [f"b|{a} {b}" for a, b in zip(ws, ws[1:])]
     out += [f"{language}|{a} {b}" for a, b in zip(plain, plain[1:])]
-    if ws and len(ws) >= 5:
+    if len(ws) > 2 and not hit_own and not hit_other:
         out.append(f"last|{ws[-1]}:{closed}")
+        if ws[-1] in FUNCTION_WORDS:
+            out += [f"ends in the middle:{closed}:{j}" for j in range(3)]
+    if len(ws) > 1 and not closed and (last := _LETTERS.findall(text.lower())[-1:]):
+        whole_word = known.has(last[0])
+        size = min(len(ws), 16) // 4
+        out += [f"last word known:{whole_word}:{size}:{hit_own or hit_other}:{j}" for j in range(4)]
+    if not alone and ws:
+        line = f" {' '.join(ws)} "
+        for e, name in ((own, "own"), (foreign, "other")):
+            for _, entry in e.entries:
+                if (at := line.find(f" {' '.join(entry)} ")) >= 0:
+                    spot = "start" if not at else "end" if line[at + 1 :].count(" ") == len(entry) else "inside"
+                    out += [f"holds:{name}:{spot}:{closed}:{j}" for j in range(4)]
+                    break
+    shown = [w for w in ws if w not in q.lists.shared]
+    for name in speaks(shown):
+        out += [f"speaks:{name}:{language}:{j}" for j in range(8)]
     if not text.isascii():
         marks = {c for c in text if ord(c) > 127}
         out += [f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}" for c in marks]
     return placed + [place(f) for f in out], alone
 
 
+_NAMES = re.compile(r"(?<=[a-z] )[A-Z][\w-]{4,}")
+_ELIDED = re.compile(r"\b([Dd]|[Nn]|[Jj]|[Qq]u|[Mm])e (?=[aeiouyhéèêàâîô])")
+
+
 def misspell(rng: random.Random, text: str) -> str:
     if len(text) < 5:
         return text
@@ -150,56 +247,90 @@ def recase(rng: random.Random, text: str) -> str:
     return rng.choice([text, text, text, text.lower(), text.upper(), text.swapcase()])
 
 
-def made_pairs(row: dict, language: str, rng: random.Random) -> list[tuple[str, str]]:
-    """(response, type or '') examples for one question and language: usable, and each kind of defect."""
+def made_pairs(row: dict, language: str, rng: random.Random, others: list[dict]) -> list[tuple[str, str]]:
+    """(response, type or '') examples for one question and language: usable, and each kind of defect.
+
+    others are further questions; sentences of theirs, whole, cut off or in the other language, are answers
+    beside the point.
+    """
     other = "FR" if language == "EN" else "EN"
     q_lists = {"EN": parse_list(row["options"]), "FR": parse_list(row["options_fr"])}
-    texts = {"EN": [row["label"], row["asked"]], "FR": [row["label_fr"], row["asked_fr"]]}
-    town = rng.choice([w for t in texts["EN"] for w in (t or "").split() if w[:1].isupper() and len(w) > 5] or ["Springfield"]).strip(".,?!")
-    fill = lambda s: s.replace("{}", town).replace("#", str(rng.randrange(2, 99)))
+    columns = {"EN": ("label", "asked"), "FR": ("label_fr", "asked_fr")}
+    texts = {lang: [row[c] for c in cols] for lang, cols in columns.items()}
+    # a name from within a sentence of another question, so that names of no list are met
+    asked = [r[c] or "" for r in (rng.sample(others, min(5, len(others))) or [row]) for c in columns["EN"]]
+    town = {"town": [rng.choice([m for t in asked for m in _NAMES.findall(t)] or ["Springfield"])]}
     own = Entries((q_lists[language],))
     same = {e[1] for e in q_lists["EN"]} & {e[1] for e in q_lists["FR"]}
     out: list[tuple[str, str]] = []
 
+    def say(rules: dict, start: str = "text") -> str:
+        text = seeds.made(rng, rules | town, start)
+        text = _ELIDED.sub(r"\1'", text) if rules in (seeds.REFUSALS["FR"] | town, seeds.ASIDES["FR"] | town) else text
+        return re.sub(r"\s+([.!,])", r"\1", re.sub(r"([,;.])(?=[^\W\d_])", r"\1 ", " ".join(text.split())))
+
+    def refusal(lang: str) -> str:
+        rules = seeds.REFUSALS[lang]
+        parts = [say(rules, "open"), say(rules, "core")]
+        text = " ".join(x for x in parts if x)
+        more = say(rules, "more")
+        text = text[0].upper() + text[1:] + rng.choice(["", "", ".", "!", f". {more}", f". {more}"])
+        return text
+
+    def around(lang: str) -> str:
+        return say(seeds.AROUND[lang]).replace("@", "{}")
+
     def dress(label: str, code: int | None, lang: str) -> str:
         n = code or rng.randrange(1, 8)
         shape = rng.choice(
-            ["{}", "{}", "{}", f"{n}: {{}}", f"{n} - {{}}", f"{n}) {{}}", f"{{}} ({n})", f"{{}} [{n}]", "**{}**", '"{}"', "« {} »", "- {}", "{} ", "{}\n", "{}!", *seeds.POLITE[lang]]
+            ["{}", "{}", "{}", f"{n}: {{}}", f"{n} - {{}}", f"{n}) {{}}", f"{{}} ({n})", f"{{}} [{n}]", "**{}**", '"{}"', "« {} »", "- {}", "{} ", "{}\n", "{}!"] * 2 + [around(lang)] * 12
         )
         return shape.replace("{}", label)
 
     def some(found, n):
         return rng.sample(list(found), min(n, len(found)))
 
+    def sentences(lang: str, n: int) -> list[str]:
+        found = []
+        for r in some(others, 3 * n):
+            text = rng.choice([r[c] for c in columns[lang]]) or ""
+            found += [p.strip() for p in text.split(". ") if len(p) > 30 and not p.rstrip().endswith("?")][:1]
+        return found[:n]
+
     for _, label, code in some(q_lists[language], 4):
         out.append((dress(recase(rng, label), code, language), ""))
         out.append((misspell(rng, recase(rng, label)), ""))
-        out.append((label + rng.choice(seeds.WHOLE_REASONS[language]), ""))
+        out += [(around(language).replace("{}", recase(rng, label)), "") for _ in range(2)]
         head = (rng.choice(texts[language]) or "").split(". ")[0]
         if head:
             out.append((f"{head}: {label}", ""))
-        reason = rng.choice(seeds.lines(seeds.REASONS[language]))
+        reason = rng.choice([", ", ". ", ", "]) + say(seeds.LONG[language])
         out.append((label + reason[: rng.randrange(12, len(reason) - 1)], "truncated"))
         cut = rng.randrange(2, max(3, len(label) - 1))
         if len(label) > 4 and not (plainly(words(label[:cut]), own) or nearly(words(label[:cut]), own)):
-            out.append((rng.choice(["", "", "My answer: " if language == "EN" else "Ma réponse : "]) + label[:cut].rstrip(), "truncated"))
+            out.append((rng.choice(["", "", "", around(language).split("{}")[0]]) + label[:cut].rstrip(), "truncated"))
     for _, label, code in some([e for e in q_lists[other] if e[1] not in same], 3):
         out.append((dress(recase(rng, label), code, other), "other_language"))
         out.append((label, "other_language"))
     n = rng.randrange(1, 9)
     out += [(rng.choice([f"{n}", f"{n}.", f"({n})", f"#{n}", f"Option {n}", f"{n})"]), "")]
-    aside = seeds.lines(seeds.ASIDE[language])
-    out += [(recase(rng, fill(a)), "") for a in rng.sample(aside, 6)]
-    out += [(fill(a), "other_language") for a in rng.sample([a for a in seeds.lines(seeds.ASIDE[other]) if len(a) > 12 and "around" not in a], 3)]
-    out += [(fill(a), "other_language") for a in rng.sample(seeds.lines(seeds.FOREIGN), 3)]
-    for long in rng.sample(seeds.lines(seeds.LONG[language]), 3):
-        long = fill(long)
+    out += [(recase(rng, say(seeds.ASIDES[language])), "") for _ in range(6)]
+    out += [(x + rng.choice([".", ""]), "") for x in sentences(language, 3)]
+    out += [(say(seeds.ASIDES[language], "sentence"), "") for _ in range(3)]
+    out += [(x, "other_language") for x in (say(seeds.ASIDES[other]) for _ in range(5)) if len(x) > 12]
+    out += [(x + rng.choice([".", ""]), "other_language") for x in sentences(other, 2)]
+    out += [(say(seeds.FOREIGN), "other_language") for _ in range(3)]
+    for lang in rng.sample([x for x in seeds.FREQUENT if x != language.lower()], 4):
+        # frequent words in any order, so that the language is learnt and not its sentences
+        mixed = [*rng.sample(seeds.FREQUENT[lang], rng.randrange(3, 7)), *(w for w in say(seeds.FOREIGN, lang).split() if rng.random() < 0.3)] if lang not in ("en", "fr") else rng.sample(seeds.FREQUENT[lang], 6)
+        rng.shuffle(mixed)
+        text = " ".join(mixed)
+        out.append((text[0].upper() + text[1:] + rng.choice([".", ".", ""]), "other_language"))
+    for long in [say(seeds.LONG[language]) for _ in range(3)] + sentences(language, 2):
         out.append((long[: rng.randrange(24, len(long))].rstrip(), "truncated"))
-    for lang in (language, language, language, other):
-        core = rng.choice(seeds.lines(seeds.REFUSE[lang]))
-        opening = rng.choice(seeds.REFUSE_OPEN[lang])
-        text = opening + (core if opening or core[:2] in ("I ", "I'") else core[0].upper() + core[1:]) + rng.choice(seeds.REFUSE_CLOSE[lang])
-        out.append((rng.choice([text, text, text.lower()]), "refusal"))
+    for lang in (language, language, language, language, other):
+        text = refusal(lang)
+        out.append((rng.choice([text, text, text, text.lower()]), "refusal"))
     label, asked = texts[language]
     copies = [t for t in (label, asked, f"{label}\n\n{asked}" if label and asked else None) if t]
     if asked:
@@ -214,10 +345,10 @@ def made_pairs(row: dict, language: str, rng: random.Random) -> list[tuple[str,
     return out
 
 
-def train(sample: DataFrame, seed: int = 3) -> dict:
+def train(sample: DataFrame, known: Known, seed: int = 3) -> dict:
     """Weights (one row per type) and calibrated cuts, from the questions of a bounded sample.
 
-    Examples are made from the questions themselves and the seed sentences: answers truncated, copied,
+    Examples are made from the questions themselves and the grammars of seeds.py: answers truncated, copied,
     swapped for the other language's, and refused. A fifth of the questions is held out, and each type's
     cut is calibrated there.
     """
@@ -229,8 +360,8 @@ def train(sample: DataFrame, seed: int = 3) -> dict:
         for language in ("EN", "FR"):
             if language == "FR" and not (r["options_fr"] or "").strip():
                 continue
-            for response, kind in made_pairs(r, language, rng):
-                x.append(features(response, language, q)[0])
+            for response, kind in made_pairs(r, language, rng, [o for o in rows if o is not r]):
+                x.append(features(response, language, q, known)[0])
                 y.append(kind)
                 held.append(place("held" + r["question"]) % 5 == 0)
     held, y = np.array(held, bool), np.array(y)
@@ -241,7 +372,7 @@ def train(sample: DataFrame, seed: int = 3) -> dict:
         w = fit(fitted, y[~held] == kind)
         cut, f1 = best_threshold(unseen.dot(w), y[held] == kind) if held.sum() >= 200 else (0.0, float("nan"))
         weights.append(w.astype("f4"))
-        cuts.append(min(max(cut, -0.5), 1.0))
+        cuts.append(cut)
         quality[kind] = f1
     return {"weights": np.stack(weights), "cuts": np.array(cuts), "held_out_f1": quality, "rows": len(y)}
 
@@ -254,7 +385,7 @@ def classify(x: list[list[int]], weights: np.ndarray, cuts: np.ndarray) -> list[
     return [TYPES[b] if m > 0 else "" for b, m in zip(best, margins.max(1))]
 
 
-def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_questions: int = 120) -> DataFrame:
+def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_questions: int = 90) -> DataFrame:
     """sample_table, question, sample_idx, defect_type of every defective pair of the named sample tables.
 
     A table with a survey_language column is judged in French where that begins with FR and the question
@@ -280,22 +411,29 @@ def broken_pairs(tables: dict[str, DataFrame], questions: DataFrame, sample_ques
     )
     named = rows.select("question").distinct().join(asked.select("question").distinct(), "question", "left_semi")
     chosen = bounded_sample(cut(named), "question", sample_questions)
-    model = train(asked.join(F.broadcast(chosen), "question", "left_semi").dropDuplicates(["question"]))
-    shared = questions.sparkSession.sparkContext.broadcast((model["weights"], model["cuts"]))
+    texts = rows.select("response").unionByName(
+        asked.select(F.explode(F.array("label", "asked", "label_fr", "asked_fr", "options", "options_fr")).alias("response"))
+    )
+    known = known_words(texts, "response")
+    model = train(asked.join(F.broadcast(chosen), "question", "left_semi").dropDuplicates(["question"]), known)
+    shared = questions.sparkSession.sparkContext.broadcast((model["weights"], model["cuts"], known))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, cuts = shared.value
+        weights, cuts, seen = shared.value
         for batch in batches:
             for at in range(0, len(batch), 4000):
                 b = batch.iloc[at : at + 4000]
                 pairs, x, fresh = [], [], []
+                for q in {question_of(*text) for text in zip(*(b[c].tolist() for c in QUESTION_COLUMNS))}:
+                    q.judged.room()
+                    q.lists.judged.room()
                 texts = zip(*(b[c].tolist() for c in QUESTION_COLUMNS))
                 for text, response, french in zip(texts, b["response"].tolist(), b["french"].tolist()):
                     q = question_of(*text)
                     key = (response, "FR" if french and (text[1] or "").strip() else "EN")
                     pairs.append((q, key))
                     if key not in q.judged and key not in q.lists.judged:
-                        row, alone = features(*key, q)
+                        row, alone = features(*key, q, seen)
                         known = q.lists.judged if alone else q.judged
                         known[key] = ""
                         fresh.append((known, key))

@@ -72,7 +72,7 @@ def _descend(x: Sparse, y: np.ndarray, l2: float, rounds: int, rate: float) -> n
 
 
 def best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.004) -> tuple[float, float]:
-    """A cut for the scores of held-out rows, and its F1: the strictest whose F1 is within slack of the best."""
+    """A cut for the scores of held-out rows, and its F1: of those whose F1 is within slack of the best, the one nearest 0."""
     if not len(scores) or not np.any(y):
         return 0.0, 0.0
     order = np.argsort(-scores, kind="stable")
@@ -80,6 +80,8 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.004) -> t
     hits = np.cumsum(t)
     f1 = 2 * hits / (np.arange(1, len(s) + 1) + t.sum())
     f1 = np.where(np.append(s[1:] != s[:-1], True), f1, -1)
-    k = int(np.argmax(f1 >= f1.max() - slack))
-    below = s[k + 1] if k + 1 < len(s) else s[k] - 2.0
-    return float((s[k] + below) / 2), float(f1[k])
+    good = np.flatnonzero(f1 >= f1.max() - slack)
+    below = np.append(s[1:], s[-1] - 2.0)
+    cuts = np.clip(0.0, (s[good] + below[good]) / 2, s[good])
+    k = int(np.argmin(np.abs(cuts)))
+    return float(cuts[k]), float(f1[good[k]])

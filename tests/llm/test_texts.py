@@ -45,8 +45,42 @@ def test_long_entries_are_mapped():
     long = "The council should keep the ferry between Marwick and Torville running every day of the whole year"
     options = f'["{long}", "The council should sell the ferry", "No opinion"]'
     slip = long.replace("council", "counicl").replace("Torville", "Torvile")
-    assert len(words(long)) > 14 and canonical.choose(slip, options, None, (), {}) == 0
-    assert canonical.choose(f"{slip} " * 3, options, None, (), {}) == -1
+    near = canonical.Repairs({w: {v: 0.8} for w, v in (("counicl", "council"), ("torvile", "torville"))})
+    assert len(words(long)) > 14 and canonical.choose(slip, options, None, (), near) == 0
+    assert canonical.choose("It depends on what the neighbours think of that this year", options, None, (), near) == -1
+
+
+MADE = '["Hospital funding", "Road repairs", "School meals", "Lower rents", "Cleaner rivers"]'
+
+
+def test_plain_answers_of_any_wording(spark):
+    """Lists and wordings that stand in no table; most need the repaired words."""
+    cases = [
+        ("I reckon hospital funding", 0), ("my pick would be road repairs", 1), ("schol meals for me", 2), ("hosptial fundng", 0), ("lower rnets please", 3),
+        ("I would go with cleaner rivers", 4), ("raod repiars above all", 1), ("cleanr rivres", 4), ("hospitl funding I reckon", 0), ("skool meels", 2),
+        ("the moon", -1), ("none of your business", -1), ("", None),
+    ]
+    questions = spark.createDataFrame([("m", "Priority", "What first?", MADE, "", "", "", "test")], QUESTIONS)
+    df = spark.createDataFrame([("m", i, "EN", r, None) for i, (r, _) in enumerate(cases)], SAMPLES)
+    got = {r["sample_idx"]: r["option_pos"] for r in canonical.map_to_entries(df, questions, expressions="").collect()}
+    want = {i: p for i, (_, p) in enumerate(cases) if p is not None}
+    assert sum(got[i] == p for i, p in want.items()) >= 11 and all(got[i] == -1 for i in (10, 11)) and set(got) == set(want)
+
+
+def test_most_mappings_need_the_repaired_words():
+    """Without the repair table most misspelt answers map to nothing."""
+    rng, e = random.Random(8), canonical.entries_of(MADE, None)
+    told, bare = 0, 0
+    for _ in range(200):
+        ws = list(rng.choice(e.entries)[1])
+        place = e.exact["".join(ws)]
+        i = rng.randrange(len(ws[0]) - 1)
+        slip = [ws[0][:i] + ws[0][i + 1] + ws[0][i] + ws[0][i + 2 :], ws[1][:-2] + ws[1][-1]]
+        near = {w: n for w in slip if w not in e.idf and (n := canonical.nearby(w, e.idf, [v for v in e.idf if abs(len(v) - len(w)) < 4]))}
+        text = f"the {slip[0]} and {slip[1]}"
+        told += canonical.choose(text, MADE, None, (), canonical.Repairs(near)) == place
+        bare += canonical.choose(text, MADE, None, (), canonical.Repairs()) == place
+    assert told > 180 and bare < told / 2
 
 
 def test_readings():
@@ -82,7 +116,7 @@ def test_held_out_quality(spark, questions):
     many = asked
     for i in range(60):
         many = many.unionByName(asked.withColumn("question", F.lit(f"x{i}")))
-    model = defects.train(many)
+    model = defects.train(many, defects.Known())
     assert all(f1 > 0.9 for f1 in model["held_out_f1"].values())
 
 
