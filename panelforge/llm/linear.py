@@ -27,6 +27,31 @@ class Sparse:
         self.row = np.repeat(np.arange(len(kept), dtype="i4"), lengths)
         self.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths) if kept else np.zeros(0, "f4")
 
+    @classmethod
+    def joined(cls, row: np.ndarray, index: np.ndarray, n: int, bits: int = BITS) -> "Sparse":
+        """n rows from pairs of row and feature in any order; a feature met twice counts twice."""
+        out = object.__new__(cls)
+        out.size = (1 << bits) + 1
+        row = np.concatenate([row, np.arange(n)])
+        index = np.concatenate([index, np.full(n, out.size - 1)])
+        order = np.argsort(row, kind="stable")
+        lengths = np.bincount(row, minlength=n)
+        out.ends = np.cumsum(lengths)
+        out.starts = out.ends - lengths
+        out.index, out.row = index[order].astype("i4"), row[order].astype("i4")
+        out.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths)
+        return out
+
+    def rows(self, keep: np.ndarray) -> "Sparse":
+        """The rows where keep is true."""
+        out, entry = object.__new__(Sparse), keep[self.row]
+        lengths = (self.ends - self.starts)[keep]
+        out.size, out.ends = self.size, np.cumsum(lengths)
+        out.starts = out.ends - lengths
+        out.index, out.value = self.index[entry], self.value[entry]
+        out.row = np.repeat(np.arange(len(lengths), dtype="i4"), lengths)
+        return out
+
     def narrowed(self) -> tuple[tuple[np.ndarray, int], "Sparse"]:
         """The features that occur with the width of the space, and the rows over those features only."""
         found, place_of = np.unique(self.index, return_inverse=True)
