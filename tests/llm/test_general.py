@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,12 +109,12 @@ def test_nearest_vectors(spark):
     rows = list(zip(names, x)) + [(names[0], x[0]), ("zero", [0.0] * 8), ("short", [1.0]), ("none", None), (None, x[3]), ("nan", [float("nan")] * 8)]
     df = spark.createDataFrame(rows, "name string, v array<float>").withColumn("id", F.lit(0))
     want = brute_nearest(names, x, 5)
-    exact = forest.nearest_vectors(df, "name", "v", dims=8)  # one node holds all
+    exact = forest.nearest_vectors(df, "name", "v", dims=8, candidates=10**9)  # every row ascends to the empty prefix
     got = {}
     for r in exact.collect():
         got.setdefault(r["name"], {})[r["rank"]] = r["neighbor"]
     assert {n: [d[i] for i in sorted(d)] for n, d in got.items()} == want
-    rough = {(r["name"], r["neighbor"]) for r in forest.nearest_vectors(df, "name", "v", dims=8, leaf=60).collect()}
+    rough = {(r["name"], r["neighbor"]) for r in forest.nearest_vectors(df, "name", "v", dims=8, trees=30, candidates=600).collect()}
     truth = {(n, m) for n, ms in want.items() for m in ms}
     assert len(rough & truth) / len(truth) >= 0.9
     tiny = forest.nearest_vectors(df.where("name in ('v0005', 'v0006')"), "name", "v", dims=8).collect()
@@ -121,7 +122,23 @@ def test_nearest_vectors(spark):
     assert forest.nearest_vectors(df.limit(0), "name", "v", dims=8).count() == 0
 
 
-def test_equal_strings_are_cut():
-    keys = np.zeros(1000, "i8")
-    spans = list(forest.nodes(keys, 50))
-    assert sorted(a for a, *_ in spans)[0] == 0 and sum(b - a for a, b, *_ in spans) == 1000 and max(b - a for a, b, *_ in spans) <= 200
+def test_large_tables_are_routed_to_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    x = [list(map(float, base[i % 60] + 0.4 * rng.normal(size=16))) for i in range(1500)]
+    names = [f"v{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame(list(zip(names, x)), "name string, v array<float>")
+    assert forest.group_count(1500, 60, 600, 0.95, 0.73, 400)[1] == 2
+    near = forest.nearest_vectors(df, "name", "v", dims=16, trees=60, candidates=600, block=400)
+    got = {(r["name"], r["neighbor"]) for r in near.collect()}
+    truth = {(n, m) for n, ms in brute_nearest(names, x, 5).items() for m in ms}
+    assert len(got & truth) / len(truth) >= 0.9
+
+
+def test_every_row_is_in_a_block():
+    part = np.repeat([1, 2, 4], [950, 30, 200])
+    df = pd.DataFrame({"part": part, "id": np.arange(len(part))})
+    blocks = list(forest.blocks_of((df.iloc[i : i + 70] for i in range(0, len(df), 70)), 200))
+    assert all(len(b) <= 200 and b["part"].nunique() == 1 for b in blocks)
+    assert set(pd.concat(blocks)["id"]) == set(df["id"])
+    assert sum(len(b) for b in blocks) > len(df)
