@@ -22,7 +22,7 @@ from panelforge.llm.answers import (
     sources_of,
 )
 from panelforge.llm.normal import Edits, Memo, damerau, words
-from panelforge.llm.thesaurus import LINES, Thesaurus
+from panelforge.llm.thesaurus import LINES, Rewriter, Thesaurus
 from panelforge.session import cut
 
 
@@ -66,6 +66,14 @@ class Entries:
         for place, ws in self.entries:
             self.exact.setdefault("".join(ws), place)
         self.text = [(place, "".join(ws)) for place, ws in self.entries]
+        self.most = max((len(t) * 7 // 6 + 1 for _, t in self.text), default=0)
+        self.rewriters: dict[int, Rewriter] = {}
+
+    def rewritten(self, ws: list[str], thesaurus: Thesaurus) -> list[list[str]]:
+        """ws with expressions put in words of the entries."""
+        if id(thesaurus) not in self.rewriters:
+            self.rewriters = {id(thesaurus): thesaurus.within(self.idf)}
+        return self.rewriters[id(thesaurus)](ws)
 
     def soft_tfidf(self, ws: list[str], repairs: "Repairs") -> list[tuple[float, int]]:
         """(score, place) of every entry that shares a word after repair, best first.
@@ -160,10 +168,14 @@ def initials(ws: list[str], e: "Entries") -> int | None:
 
 def misspelt(text: str, e: "Entries") -> int | None:
     """The place of the entry nearest to text by edits, if within a sixth of its letters and no tie."""
+    if len(text) > e.most:
+        return None
     best: dict[int, int] = {}
     own = Edits(text)
     for place, entry in e.text:
         k = max(1, len(entry) // 6) if len(entry) > 3 else 0
+        if abs(len(entry) - len(text)) > k:
+            continue
         d = own.to(entry, k)
         if d <= k:
             best[place] = min(best.get(place, 99), d)
@@ -206,7 +218,7 @@ def choose(
         if (place := e.exact.get("".join(ws))) is not None:
             return place
     best = (0.0, -1)
-    for trust, ws in [*((1.0, ws) for ws, _ in ways), *((0.97, x) for ws, _ in ways for x in thesaurus.rewritten(ws, e.idf))]:
+    for trust, ws in [*((1.0, ws) for ws, _ in ways), *((0.97, x) for ws, _ in ways for x in e.rewritten(ws, thesaurus))]:
         scores = e.soft_tfidf(ws, repairs)
         if scores and trust * scores[0][0] >= max(accept, best[0]):
             if len(scores) == 1 or scores[0][0] - scores[1][0] >= margin:

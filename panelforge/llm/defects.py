@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelforge.llm import seeds
 from panelforge.llm.answers import Sources, bare, bare_code, copied, is_empty, parse_list, readings
 from panelforge.llm.canonical import FUNCTION_WORDS, Entries, initials, misspelt, shortens
-from panelforge.llm.linear import Sparse, best_threshold, fit, place
+from panelforge.llm.linear import BITS, Sparse, best_threshold, fit, place
 from panelforge.llm.normal import Memo, words
 from panelforge.llm.thesaurus import Thesaurus
 from panelforge.session import bounded_sample, cut
@@ -73,7 +73,7 @@ def plainly(ws: list[str], e: Entries) -> bool:
     if "".join(ws) in e.exact:
         return True
     own = [w for w in ws if w not in FUNCTION_WORDS]
-    for x in EXPRESSIONS.rewritten(ws, e.idf):
+    for x in e.rewritten(ws, EXPRESSIONS):
         new = {w for w in x if w not in FUNCTION_WORDS}
         if "".join(x) in e.exact or own and any(new <= entry and len(new) * 2 > len(entry - FUNCTION_WORDS) for entry in e.sets):
             return True
@@ -101,6 +101,9 @@ def _word_features(word: str, language: str) -> list[int]:
 word_features = Memo(_word_features, 100_000)
 
 
+MASK = (1 << BITS) - 1
+code_of = Memo(lambda word: zlib.crc32(word.encode()), 200_000)
+places_of = Memo(lambda name, n: [place(f"{name}#{j}") for j in range(n)])
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LANGUAGES: dict[str, list[str]] = {}
 for _name, _frequent in seeds.FREQUENT.items():
@@ -158,10 +161,10 @@ def features(response: str | None, language: str, q: Question, known: Known) ->
     those of up to five words that are plainly an entry.
     """
     if is_empty(response):
-        return [place(f"empty:{j}") for j in range(6)], True
+        return places_of("empty", 6), True
     other = "FR" if language == "EN" else "EN"
-    out: list[str] = []
-    strong = lambda name: out.extend(f"{name}#{j}" for j in range(5))
+    placed: list[int] = []
+    strong = lambda name, n=5: placed.extend(places_of(name, n))
     text = response.strip()
     ws = words(text)
     ways = readings(text)
@@ -183,7 +186,7 @@ def features(response: str | None, language: str, q: Question, known: Known) ->
         strong("entry:other")
     if not hit_own and not hit_other and not code:
         strong("entry:none")
-        joined = ["".join(w) for w, _ in ways[:3]]
+        joined = ["".join(w) for w, _ in ways]
         for e, name in ((own, "own"), (foreign, "other")):
             if any(len(j) > 1 and t.startswith(j) and t != j for j in joined for _, t in e.text):
                 strong(f"begins:{name}")
@@ -195,39 +198,43 @@ def features(response: str | None, language: str, q: Question, known: Known) ->
         strong(f"copy:{whole or hit_own or hit_other}")
     if ws and not alone:
         share = sum(w in q.known["EN"] or w in q.known["FR"] for w in ws) / len(ws)
-        out.append(f"share:{int(share * 5)}:{min(len(ws), 8) // 4}")
+        strong(f"share:{int(share * 5)}:{min(len(ws), 8) // 4}", 1)
     size = min(len(ws), 24) // 4
-    out += [f"closed:{closed}:{size}", f"size:{size}"]
+    strong(f"closed:{closed}:{size}", 1)
+    strong(f"size:{size}", 1)
     if not closed and len(ws) >= 6 and not hit_own and not hit_other and not copies:
         strong("open")
     shared = q.lists.shared if alone else q.shared
     plain = [w for w in ws if w not in shared and not w.isdigit()]
-    placed = [x for w in plain for x in word_features(w, language)]
-    out += [f"b|{a} {b}" for a, b in zip(ws, ws[1:])]
-    out += [f"{language}|{a} {b}" for a, b in zip(plain, plain[1:])]
+    for w in plain:
+        placed += word_features(w, language)
+    codes = [code_of(w) for w in ws]
+    placed += [(x * 0x9E3779B1 ^ y) >> 7 & MASK for x, y in zip(codes, codes[1:])]
+    codes, tongue = [code_of(w) for w in plain], code_of(language)
+    placed += [(x * 0x85EBCA6B ^ y ^ tongue) >> 7 & MASK for x, y in zip(codes, codes[1:])]
     if len(ws) > 2 and not hit_own and not hit_other:
-        out.append(f"last|{ws[-1]}:{closed}")
+        placed.append((code_of(ws[-1]) ^ code_of(f"last:{closed}")) & MASK)
         if ws[-1] in FUNCTION_WORDS:
-            out += [f"ends in the middle:{closed}:{j}" for j in range(3)]
+            strong(f"ends in the middle:{closed}", 3)
     if len(ws) > 1 and not closed and (last := _LETTERS.findall(text.lower())[-1:]):
         whole_word = known.has(last[0])
         size = min(len(ws), 16) // 4
-        out += [f"last word known:{whole_word}:{size}:{hit_own or hit_other}:{j}" for j in range(4)]
+        strong(f"last word known:{whole_word}:{size}:{hit_own or hit_other}", 4)
     if not alone and ws:
         line = f" {' '.join(ws)} "
         for e, name in ((own, "own"), (foreign, "other")):
             for _, entry in e.entries:
                 if (at := line.find(f" {' '.join(entry)} ")) >= 0:
                     spot = "start" if not at else "end" if line[at + 1 :].count(" ") == len(entry) else "inside"
-                    out += [f"holds:{name}:{spot}:{closed}:{j}" for j in range(4)]
+                    strong(f"holds:{name}:{spot}:{closed}", 4)
                     break
     shown = [w for w in ws if w not in q.lists.shared]
     for name in speaks(shown):
-        out += [f"speaks:{name}:{language}:{j}" for j in range(8)]
+        strong(f"speaks:{name}:{language}", 8)
     if not text.isascii():
         marks = {c for c in text if ord(c) > 127}
-        out += [f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}" for c in marks]
-    return placed + [place(f) for f in out], alone
+        placed += [place(f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}") for c in marks]
+    return placed, alone
 
 
 _NAMES = re.compile(r"(?<=[a-z] )[A-Z][\w-]{4,}")
@@ -315,7 +322,8 @@ def made_pairs(row: dict, language: str, rng: random.Random, others: list[dict])
     n = rng.randrange(1, 9)
     out += [(rng.choice([f"{n}", f"{n}.", f"({n})", f"#{n}", f"Option {n}", f"{n})"]), "")]
     out += [(recase(rng, say(seeds.ASIDES[language])), "") for _ in range(6)]
-    out += [(x + rng.choice([".", ""]), "") for x in sentences(language, 3)]
+    out += [(x + rng.choice([".", ".", ".", ".", ".", ""]), "") for x in sentences(language, 3)]
+    out += [(around(rng.choice([language, other])).replace("{}", x), "") for x in some(sorted(same), 3)]  # a name is of both languages
     out += [(say(seeds.ASIDES[language], "sentence"), "") for _ in range(3)]
     out += [(x, "other_language") for x in (say(seeds.ASIDES[other]) for _ in range(5)) if len(x) > 12]
     out += [(x + rng.choice([".", ""]), "other_language") for x in sentences(other, 2)]

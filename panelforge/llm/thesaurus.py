@@ -161,34 +161,43 @@ reseaux sociaux; medias sociaux; les reseaux
 
 
 class Thesaurus:
-    """Expressions by their first word, each with those of the same meaning."""
+    """Groups of expressions of one meaning."""
 
     def __init__(self, text: str = LINES):
-        self.by_first: dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]] = {}
-        for line in text.strip().splitlines():
-            if line == "=":  # English above, French below
-                continue
-            group = [tuple(x.split()) for x in line.split("; ")]
-            for own in group:
-                others = [x for x in group if x != own]
-                self.by_first.setdefault(own[0], []).append((own, others))
-        for found in self.by_first.values():
+        self.groups = [[tuple(x.split()) for x in line.split("; ")] for line in text.strip().splitlines() if line != "="]
+
+    def within(self, vocabulary) -> "Rewriter":
+        """The expressions that some words of the vocabulary can stand for."""
+        by_first: dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]] = {}
+        for group in self.groups:
+            known = [x for x in group if all(w in vocabulary for w in x)]
+            for own in group if known else ():
+                if others := [x for x in known if x != own]:
+                    by_first.setdefault(own[0], []).append((own, others))
+        for found in by_first.values():
             found.sort(key=lambda x: -len(x[0]))
+        return Rewriter(by_first)
+
+
+class Rewriter:
+    """Puts expressions in the words of one vocabulary."""
+
+    def __init__(self, by_first: dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]]):
+        self.by_first = by_first
 
-    def rewritten(self, ws: list[str], vocabulary) -> list[list[str]]:
+    def __call__(self, ws: list[str]) -> list[list[str]]:
         """ws with one, or every, expression put in words of the vocabulary."""
-        plain = [re.sub(r"\d+", "#", w) for w in ws]
-        read = lambda i, own: all(a in (b, c) for a, b, c in zip(own, ws[i:], plain[i:]))
         spots, one = [], []
-        for i, w in enumerate(plain):
-            for own, others in [*self.by_first.get(w, ()), *(self.by_first.get(ws[i], ()) if ws[i] != w else ())]:
-                if i + len(own) > len(ws) or not read(i, own):
-                    continue
-                for other in others:
-                    if all(x in vocabulary for x in other):
+        for plain in (ws, [re.sub(r"\d+", "#", w) for w in ws] if any(w[0].isdigit() for w in ws) else None):
+            for i, w in enumerate(plain or ()):
+                for own, others in self.by_first.get(w, ()):
+                    if len(own) > 1 and tuple(plain[i : i + len(own)]) != own:
+                        continue
+                    for other in others:
                         one.append([*ws[:i], *other, *ws[i + len(own) :]])
                         spots.append((i, len(own), other))
         if len({i for i, _, _ in spots}) > 1:  # the longest at each place, from the left, without overlaps
+            spots.sort(key=lambda x: -x[1])
             out, i = [], 0
             while i < len(ws):
                 here = next(((n, x) for at, n, x in spots if at == i), None)
