@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.normal import Memo, deletions, word_hash, words
-from panelforge.session import spread
+from panelforge.llm.sieve import Sieve
+from panelforge.session import bounded_sample, cut, spread
 
 WINDOW = 12
+#: Neighbouring words of a window that must stand side by side in some item too.
+PAIRS = 3
 STRETCH = 3 * WINDOW
 
 
@@ -49,29 +52,65 @@ class Embedding:
         return out
 
 
-def item_keys(texts: list[list[str]], embedding: Embedding) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of all windows of all items, and whose they are."""
-    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k, ws in enumerate(texts):
-        if len(ws) >= WINDOW:
-            codes = np.array([word_hash(w) for w in ws], np.uint64)
-            own = np.unique(embedding.keys(codes, np.arange(len(ws) - WINDOW + 1)))
-            keys.append(own)
-            owner.append(np.full(len(own), k))
-    keys, owner = np.concatenate(keys), np.concatenate(owner)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], owner[order]
+def pair_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next one."""
+    with np.errstate(over="ignore"):
+        h = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ codes[1:]
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        return h ^ (h >> np.uint64(31))
 
 
-def lookup(known: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(place in keys, item) of every key that is among the known, sorted ones."""
-    if len(known):
-        lo = np.searchsorted(known, keys, "left")
-        for h in np.flatnonzero((lo < len(known)) & (known[np.minimum(lo, len(known) - 1)] == keys)):
-            p = lo[h]
-            while p < len(known) and known[p] == keys[h]:
-                yield int(h), int(owner[p])
-                p += 1
+def item_keys(ws: list[str], embedding: Embedding) -> np.ndarray:
+    """The distinct keys of all windows of one item."""
+    if len(ws) < WINDOW:
+        return np.zeros(0, np.uint64)
+    codes = np.array([word_hash(w) for w in ws], np.uint64)
+    return np.unique(embedding.keys(codes, np.arange(len(ws) - WINDOW + 1)))
+
+
+def likely(codes: np.ndarray, begins: np.ndarray, has_pair) -> np.ndarray:
+    """The windows in which at least PAIRS words are followed by the next word as in some item."""
+    inside = np.concatenate([[0], np.cumsum(has_pair(pair_hashes(codes)))]) if len(codes) > 1 else np.zeros(1, int)
+    return begins[inside[begins + WINDOW - 1] - inside[begins] >= PAIRS]
+
+
+def repetitions_for(texts: list[list[str]], recall: float, sample: int, seed: int, most: int = 32) -> tuple[int, float]:
+    """(repetitions, recall reached): the fewest by which stretches of the items are found after edits.
+
+    The trial stretches have 20 words of an item, with two words changed, one put in and one misspelt; they
+    go through the same filter and embedding as the documents.
+    """
+    rng = np.random.default_rng(seed)
+    whole = Embedding(most, sample, seed)
+    found = np.zeros(most, bool)
+    hits, trials = np.zeros(most), 0
+    known = {w for ws in texts for w in ws}
+    pairs = np.unique(np.concatenate([pair_hashes(np.array([word_hash(w) for w in ws], np.uint64)) for ws in texts if len(ws) > 1] or [np.zeros(0, np.uint64)]))
+    has_pair = lambda h: np.isin(h, pairs)
+    for ws in texts:
+        if len(ws) < 20:
+            continue
+        codes = np.array([word_hash(w) for w in ws], np.uint64)
+        own = whole.keys(codes, np.arange(len(ws) - WINDOW + 1))
+        for _ in range(max(1, 400 // len(texts))):
+            at = int(rng.integers(len(ws) - 19))
+            part = ws[at : at + 20]
+            spots = rng.choice(20, 4, replace=False)
+            for i in spots[:3]:
+                part[i] = f"{part[i]}x" if f"{part[i]}x" not in known else f"{part[i]}xx"
+            part.insert(int(spots[3]), "xputinx")
+            codes = np.array([word_hash(w) for w in part], np.uint64)
+            begins = likely(codes, np.arange(len(part) - WINDOW + 1), has_pair)
+            trials += 1
+            if len(begins):
+                keys = whole.keys(codes, begins)
+                found = np.array([np.isin(keys[r], own[r]).any() for r in range(most)])
+                hits += np.maximum.accumulate(found)
+    if not trials:
+        return 1, float("nan")
+    reached = hits / trials
+    r = int(np.argmax(reached >= recall)) if (reached >= recall).any() else most - 1
+    return r + 1, float(reached[r])
 
 
 def near_forms(item: list[str]) -> dict[str, list[int]]:
@@ -88,7 +127,7 @@ forms_of = Memo(deletions, 100_000)
 
 def has_any(text: list[str], rare: set[str], rare_forms: set[str]) -> bool:
     """True if a word of the text is one of the rare words or at most one edit from one."""
-    own = set(text)
+    own = {w for w in text if w is not None}
     return not rare.isdisjoint(own) or any(
         not rare_forms.isdisjoint(forms_of(w)) for w in own if len(w) > 4
     )
@@ -106,6 +145,8 @@ def holds_stretch(
     """
     matches = []
     for i, w in enumerate(text):
+        if w is None:
+            continue
         spots = set()
         for f in forms_of(w) if len(w) > 4 else (w,):
             spots.update(near.get(f, ()))
@@ -117,7 +158,7 @@ def holds_stretch(
     score = np.ones(len(matches))
     back = np.full(len(matches), -1)
     for n in range(1, len(matches)):
-        lo = np.searchsorted(doc, doc[n] - 80)
+        lo = 0
         dj = pos[n] - pos[lo:n] - 1
         di = doc[n] - doc[lo:n] - 1
         extra = di - dj
@@ -144,96 +185,106 @@ def holds_stretch(
 
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", repetitions: int = 8, sample: int = 6, seed: int = 5, block_items: int = 5_000,
-    block_chars: int = 5_000_000,
+    item_text: str = "text", recall: float = 0.98, sample: int = 5, seed: int = 5, trial_items: int = 200,
 ) -> DataFrame:
     """doc_id, item_id of every document that holds a stretch of at least 20 words of an item.
 
     Case, accents, punctuation, layout and mojibake do not count; single changed words, one-letter
-    misspellings and insertions are allowed (see holds_stretch). NULL, empty and blank texts hold
-    nothing; an item of fewer than 20 words cannot leak; repeated rows give one result row.
-
-    Every window of 12 words of every document, if at least half of them are words of the items, is
-    embedded and looked up among the keys of all windows of the items (see Embedding); documents that share a key with an item are verified against it. The
-    items are the stated query set: they come in blocks of at most block_items rows and block_chars
-    characters, so what is broadcast is bounded, and every block is held against all documents. Nothing
-    is shuffled but the found pairs.
+    misspellings and insertions of any length are allowed (see holds_stretch). NULL, empty and blank texts
+    hold nothing; an item of fewer than 20 words cannot leak; repeated rows give one result row.
+
+    Windows of 12 words of every document are embedded, if some of their neighbouring words are neighbours in
+    an item (see likely), and keyed by sampled steps (see Embedding). The number of repetitions follows from the
+    target recall, by trial on stretches of at most trial_items items (see repetitions_for). Documents are
+    read once, however many items there are: keys that no item has are sieved out in place (Sieve, bounded
+    in size), the others are joined with the keys of the items by a shuffle, and every pair that shares a
+    key is verified by exact alignment of the words around the shared windows.
     """
-    held = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where(
-        "i is not null and t is not null"
-    )
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("c")).first()
-    blocks = max(1, -(-size["n"] // block_items), -(-(size["c"] or 0) // block_chars))
-    embedding = Embedding(repetitions, sample, seed)
     kind = documents.schema[doc_id].dataType.simpleString()
     item_kind = items.schema[item_id].dataType.simpleString()
+    held = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null")
+    trial = [words(r["t"]) for r in bounded_sample(held.distinct(), "i", trial_items).collect()]
+    repetitions, _ = repetitions_for(trial, recall, sample, seed)
+    embedding = Embedding(repetitions, sample, seed)
+
+    def prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ws = [words(t) for t in b["t"]]
+            pairs = [pair_hashes(np.array([word_hash(w) for w in x], np.uint64)).view(np.int64) if len(x) > 1 else [] for x in ws]
+            keys = [item_keys(x, embedding).view(np.int64) for x in ws]
+            yield pd.DataFrame({"i": b["i"], "item": ws, "pairs": pairs, "keys": keys})
+
+    known = cut(held.distinct().mapInPandas(prepared, f"i {item_kind}, item array<string>, pairs array<bigint>, keys array<bigint>"))
+    common = known.select("i", F.explode(F.array_distinct("item")).alias("w"))
+    rare = common.join(common.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 3"), "w").groupBy("i").agg(F.collect_set("w").alias("rare"))
+    owners = known.select("i", F.explode("keys").alias("key"))
+    has_pair, has_key = Sieve(known.select(F.explode("pairs").alias("h")).distinct(), "h"), Sieve(owners.select("key").distinct(), "key")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                b = batch.iloc[at : at + 500]
+                texts = [words(t) for t in b["t"]]
+                if len(known) > 1_000_000:
+                    known.clear()
+                for w in {w for t in texts for w in t}:
+                    if w not in known:
+                        known[w] = word_hash(w)
+                codes = np.array([known[w] for t in texts for w in t], np.uint64)
+                ends = np.cumsum([len(t) for t in texts])
+                begins = [np.arange(e - len(t), e - WINDOW + 1) for t, e in zip(texts, ends) if len(t) >= WINDOW]
+                if not begins:
+                    continue
+                begins = likely(codes, np.concatenate(begins), lambda h: has_pair(h.view(np.int64)))
+                if not len(begins):
+                    continue
+                hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for keys in embedding.keys(codes, begins):
+                    keys = keys.view(np.int64)
+                    for h in np.flatnonzero(has_key(keys)):
+                        d = int(np.searchsorted(ends, begins[h], "right"))
+                        hits[d].append((int(keys[h]), int(begins[h] - ends[d] + len(texts[d]))))
+                if hits:
+                    yield pd.DataFrame(
+                        {
+                            "d": b["d"].iloc[list(hits)].to_numpy(), "doc": [texts[d] for d in hits],
+                            "keys": [[k for k, _ in x] for x in hits.values()], "places": [[p for _, p in x] for x in hits.values()],
+                        }
+                    )
+
     docs = spread(documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{doc_text}`").alias("t"))).where(
         "d is not null and t is not null"
     )
-    found = None
-    for block in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).distinct().orderBy("i").collect()
-        texts_of = [words(r["t"]) for r in part]
-        df = Counter(w for ws in texts_of for w in set(ws))
-        rare_of = [{w for w in ws if df[w] <= 3} for ws in texts_of]
-        bare = [any(rare.isdisjoint(ws[p : p + 20]) for p in range(len(ws) - 19)) for ws, rare in zip(texts_of, rare_of)]
-        shared = documents.sparkSession.sparkContext.broadcast(
-            ([r["i"] for r in part], texts_of, rare_of, bare, *item_keys(texts_of, embedding))
-        )
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, items_words, rare, bare, item_key, owner = shared.value
-            vocabulary = np.unique(np.array([word_hash(w) for w in {w for ws in items_words for w in ws}] or [0], np.uint64))
-            near: dict[int, dict[str, list[int]]] = {}
-            rare_forms: dict[int, set[str]] = {}
-            known: dict[str, int] = {}
-            for batch in batches:
-                for at in range(0, len(batch), 500):
-                    b = batch.iloc[at : at + 500]
-                    texts = [words(t) for t in b["t"]]
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    for w in {w for t in texts for w in t}:
-                        if w not in known:
-                            known[w] = word_hash(w)
-                    codes = np.array([known[w] for t in texts for w in t], np.uint64)
-                    ends = np.cumsum([len(t) for t in texts])
-                    begins = [np.arange(e - len(t), e - WINDOW + 1) for t, e in zip(texts, ends) if len(t) >= WINDOW]
-                    if not begins:
-                        continue
-                    begins = np.concatenate(begins)
-                    # a window that can be part of a leak has at least half its words in the items
-                    place = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
-                    inside = np.concatenate([[0], np.cumsum(vocabulary[place] == codes)])
-                    begins = begins[inside[begins + WINDOW] - inside[begins] >= WINDOW // 2]
-                    if not len(begins):
-                        continue
-                    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-                    for keys in embedding.keys(codes, begins):
-                        for h, k in lookup(item_key, owner, keys):
-                            d = int(np.searchsorted(ends, begins[h], "right"))
-                            hits[d, k].append(int(begins[h] - ends[d] + len(texts[d])))
-                    rows = []
-                    for (d, k), places in hits.items():
-                        reach = 2 * len(items_words[k]) + 40
-                        spans: list[list[int]] = []
-                        for p in sorted(set(places)):
-                            if spans and p - reach <= spans[-1][1]:
-                                spans[-1][1] = p + reach
-                            else:
-                                spans.append([max(0, p - reach), p + reach])
-                        if k not in near:
-                            near[k] = near_forms(items_words[k])
-                            rare_forms[k] = {f for w in rare[k] if len(w) > 4 for f in deletions(w)}
-                        if any(
-                            (bare[k] or has_any(texts[d][lo:hi], rare[k], rare_forms[k]))
-                            and holds_stretch(texts[d][lo:hi], items_words[k], near[k], rare[k])
-                            for lo, hi in spans
-                        ):
-                            rows.append((b["d"].iloc[d], ids[k]))
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["d", "i"])
-
-        hits = docs.mapInPandas(search, f"d {kind}, i {item_kind}")
-        found = hits if found is None else found.unionByName(hits)
+    likely_docs = cut(docs.mapInPandas(search, f"d {kind}, doc array<string>, keys array<bigint>, places array<int>").withColumn("row", F.monotonically_increasing_id()))
+    places = likely_docs.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", "x.keys", "x.places")
+    pairs = (
+        places.join(owners, F.col("keys") == F.col("key")).groupBy("row", "i").agg(F.array_sort(F.collect_set("places")).alias("places"))
+        .join(likely_docs.select("row", "d", "doc"), "row")
+        .join(known.select("i", "item"), "i")
+        .join(rare, "i", "left")
+    )
+
+    def item_of(ws: tuple, rare: tuple) -> tuple:
+        few = set(rare)
+        bare = any(few.isdisjoint(ws[p : p + 20]) for p in range(len(ws) - 19))
+        return near_forms(list(ws)), few, {f for w in few if len(w) > 4 for f in deletions(w)}, bare
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = Memo(item_of, 1000)
+        for b in batches:
+            good = []
+            for r in b.itertuples():
+                item = list(r.item)
+                near, few, forms, bare = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
+                reach, text, last = 2 * len(item) + 40, [], 0
+                for p in r.places:  # the words around all shared windows, None where others are left out
+                    lo, hi = max(last, p - reach), min(len(r.doc), p + reach)
+                    if hi > lo:
+                        text += [*([None] if lo > last else []), *r.doc[lo:hi]]
+                        last = hi
+                good.append((bare or has_any(text, few, forms)) and holds_stretch(text, item, near, few))
+            yield b.loc[good, ["d", "i"]]
+
+    found = pairs.mapInPandas(verified, f"d {kind}, i {item_kind}")
     return found.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))

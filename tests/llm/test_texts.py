@@ -203,6 +203,7 @@ def test_leaks(spark):
         1: ITEM, 2: noise + " ".join(ws[10:34]) + " " + noise, 3: " ".join(w.upper() for w in ws[:30]), 4: "> " + "\n> ".join(" ".join(ws[i : i + 5]) for i in range(5, 40, 5)),
         5: " ".join("some" if i % 9 == 4 else w for i, w in enumerate(ws)), 6: " ".join(ws[:15]) + " " + " ".join(noise.split()[:9]) + " " + " ".join(ws[15:35]),
         7: noise * 3000 + ITEM, 8: " ".join(w[:-2] + w[-1] if len(w) > 6 and i % 6 == 0 else w for i, w in enumerate(ws)), 20: ITEM.replace("é", "e").replace(",", ""),
+        21: " ".join(ws[:16]) + " " + noise * 30 + " ".join(ws[16:40]),
     }
     free = {
         9: None, 10: "", 11: "  ", 12: noise, 13: " ".join(ws[:12]), 14: "The parish archivist at Dorbaville had changed their minds twice about an elected sheriff for greater Marwick.",
@@ -211,13 +212,20 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(i, t) for i, t in (holds | free).items()] + [(1, ITEM)], "doc_id bigint, text string").withColumn("item_id", F.lit(0))
     filler = ["Members of the Halteney curling club admitted knowing almost nothing on reopening the quarry that scarred Saumobec after a very long and public debate in town"]
     items = spark.createDataFrame([(1, ITEM), (2, filler[0]), (3, None), (4, "too short"), (1, ITEM)], "item_id bigint, text string")
-    for blocks in (5000, 1):
-        got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, items, block_items=blocks).collect()}
-        assert got == {(i, 1) for i in holds}
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, items).collect()}
+    assert got == {(i, 1) for i in holds}
     assert leaks.leaked_items(docs.limit(0), items).count() == 0
     assert leaks.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_repetitions_follow_the_target_recall():
+    texts = [ITEM.lower().split()] * 3
+    few, low = leaks.repetitions_for(texts, 0.8, 5, 5)
+    many, high = leaks.repetitions_for(texts, 0.97, 5, 5)
+    assert few <= many and low >= 0.8 and high >= 0.97
+    assert leaks.repetitions_for([["short"]], 0.9, 5, 5)[0] == 1
+
+
 def test_recall_of_noisy_leaks(spark):
     rng = random.Random(6)
     ws = ITEM.split()
