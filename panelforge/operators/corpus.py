@@ -10,7 +10,7 @@ from panelforge.functions.options import bulleted, choices_line, options_kept, o
 from panelforge.functions.text import normalize_text, normalize_value, parent_var, pick_lang, pick_raw
 from panelforge.operators.lookup import localise
 from panelforge.operators.sampling import row_index, shuffled_positions
-from panelforge.session import cut
+from panelforge.session import broadcast_if_small, cut
 
 # Profile fields with their English and French captions, in order.
 PROFILE_FIELDS = [
@@ -129,24 +129,51 @@ def _lines(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.select(*keys, F.array_join(F.transform("x", lambda p: p["line"]), "\n").alias("context"), F.size("x").cast("bigint").alias("n_context"))
 
 
+#: A prime; places in a seeded order are products of two draws below it.
+PRIME = 2_147_483_647
+
+
+def line_arrays(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """respondent_id, lines: every respondent's context lines as one array of (h, key, line), h a draw per group.
+
+    A respondent has at most one line per question group, so the array is bounded by the number of groups.
+    """
+    h = draw(seed, F.col("respondent_id"), F.col("parent_key")) % F.lit(PRIME)
+    entry = F.struct(h.alias("h"), F.col("parent_key").alias("key"), "line")
+    return rows.groupBy("respondent_id").agg(F.collect_list(entry).alias("lines"))
+
+
+def shuffled_context(lines: Column, target: Column, n_ctx: int | None) -> Column:
+    """The first n_ctx lines in the order of one target, target being its draw from 1 to PRIME - 1.
+
+    The order is that of target * h modulo PRIME, so every target has a shuffle of its own, at one digest per
+    line and one per target. Only lines below a cut that should leave four times n_ctx are sorted, all of them
+    if it leaves too few.
+    """
+    keyed = F.transform(lines, lambda x: F.struct(((target * x["h"]) % F.lit(PRIME)).alias("k"), x["key"].alias("key"), x["line"].alias("line")))
+    if n_ctx is None:
+        return F.transform(F.array_sort(keyed), lambda x: x["line"])
+    few = F.filter(keyed, lambda x: x["k"] * F.size(lines) < F.lit(4 * n_ctx * PRIME))
+    kept = F.when(F.size(few) >= F.least(F.lit(n_ctx), F.size(lines)), few).otherwise(keyed)
+    return F.transform(F.slice(F.array_sort(kept), 1, n_ctx), lambda x: x["line"])
+
+
+def target_draw(seed: int, *cols: Column) -> Column:
+    return draw(f"{seed}|target", *cols) % F.lit(PRIME - 1) + 1
+
+
 def leave_one_out(rows: DataFrame, n_ctx: int | None = 10, seed: int = 42) -> DataFrame:
     """respondent_id, parent_key, context, n_context: for every answered group, other groups as context.
 
-    Every respondent's groups lie in a seeded ring; the context of a target are the n_ctx groups that
-    follow it (all others for None), so a target is never in its own context, each gets another one, and a
-    respondent of m answers costs m * n_ctx rows, not m * m. Targets without context are left out.
+    Each target has a seeded shuffle of its own over the respondent's other groups, cut after n_ctx (all for
+    None). Targets without context are left out. A respondent's lines are gathered once, in one array, and the
+    contexts are made in place, so nothing but that array is shuffled.
     """
-    placed = shuffled_positions(rows, ["respondent_id"], ["parent_key"], seed)
-    sizes = rows.groupBy("respondent_id").agg(F.count(F.lit(1)).alias("m"))
-    reach = F.col("m") - 1 if n_ctx is None else F.least(F.lit(n_ctx), F.col("m") - 1)
-    ring = placed.join(sizes, "respondent_id").where("m > 1")
-    context = ring.select("respondent_id", "pos", "m", "line", F.explode(F.sequence(F.lit(1).cast("bigint"), reach)).alias("step"))
-    context = context.withColumn("pos", F.pmod(F.col("pos") - F.col("step"), F.col("m")))
-    return (
-        placed.select("respondent_id", "parent_key", "pos")
-        .join(_lines(context, ["respondent_id", "pos"], "step"), ["respondent_id", "pos"])
-        .drop("pos")
-    )
+    targets = line_arrays(rows, seed).withColumn("parent_key", F.explode(F.transform("lines", lambda x: x["key"])))
+    others = F.filter("lines", lambda x: x["key"] != F.col("parent_key"))
+    chosen = shuffled_context(others, target_draw(seed, F.col("respondent_id"), F.col("parent_key")), n_ctx)
+    told = targets.where(F.size("lines") > 1).select("respondent_id", "parent_key", chosen.alias("c"))
+    return told.select("respondent_id", "parent_key", F.array_join("c", "\n").alias("context"), F.size("c").cast("bigint").alias("n_context"))
 
 
 def sft_questions(
@@ -242,30 +269,21 @@ def tasks(
     """Every respondent with every question: the prompt to answer, and what is needed to read the answer.
 
     questions are the target questions; question_index is their place by name. The product is an equi-join
-    on that index. The context of a task begins at a seeded place of the respondent's ring of answered
-    groups and takes n_ctx of them; respondents without context have no tasks.
+    on that index. Every task has a seeded shuffle of its own over the respondent's answered groups, cut
+    after n_ctx; respondents without context have no tasks. Lines and profile are joined once per respondent.
     """
     asked = row_index(questions, "variable_name", "question_index").withColumnRenamed("question", "asked")
     n = questions.count()
-    placed = shuffled_positions(rows, ["respondent_id"], ["parent_key"], seed)
-    sizes = placed.groupBy("respondent_id").agg(F.count(F.lit(1)).alias("m"))
     who = respondents.select(
         "respondent_id", F.coalesce(normalize_text(F.col("survey_language")), F.lit("EN")).alias("survey_language"),
         is_french(F.col("survey_language")).alias("is_french"),
-    ).join(sizes, "respondent_id")
-    pairs = who.withColumn("question_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    start = draw(seed, F.col("respondent_id"), F.col("question_index")) % F.col("m")
-    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(n_ctx), F.col("m")) - 1))
-    context = (
-        pairs.select("respondent_id", "question_index", "m", start.alias("start"), steps.alias("step"))
-        .withColumn("pos", (F.col("start") + F.col("step")) % F.col("m"))
-        .join(placed.select("respondent_id", "pos", "line"), ["respondent_id", "pos"])
-    )
-    made = (
-        pairs.join(_lines(context, ["respondent_id", "question_index"], "step"), ["respondent_id", "question_index"])
-        .join(profiles.select("respondent_id", "profile"), "respondent_id")
-        .join(asked, "question_index")
-    )
+    ).join(line_arrays(rows, seed), "respondent_id").join(profiles.select("respondent_id", "profile"), "respondent_id")
+    pairs = who.withColumn("question_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))) if n else who.withColumn("question_index", F.lit(0).cast("bigint")).limit(0)
+    target = target_draw(seed, F.col("respondent_id"), F.col("question_index"))
+    made = pairs.select(
+        "respondent_id", "question_index", "survey_language", "is_french", "profile",
+        F.array_join(shuffled_context(F.col("lines"), target, n_ctx), "\n").alias("context"),
+    ).join(broadcast_if_small(asked), "question_index")
     fr = F.col("is_french")
     text = pick_lang(fr, F.col("label"), F.col("asked"), F.col("label_fr"), F.col("question_fr"))
     offered = F.when(fr, options_list(F.col("options_fr"))).otherwise(options_list(F.col("options")))

@@ -73,12 +73,15 @@ _GROUPS = f"""(select parent_key, arg_min({S.child_parent('label_en')}, variable
 _ROWS = f"""(select r.respondent_id, r.parent_key, r.fr, r.answer, case when r.fr then g.pf else g.pe end as prompt, case when r.fr then g.of else g.oe end as choices,
   'Q: ' || case when r.fr then g.pf else g.pe end || ' R: ' || r.answer as line,
   row_number() over (partition by r.respondent_id order by {S.key(42, 'r.respondent_id', 'r.parent_key')}, r.parent_key) - 1 as pos,
-  count(*) over (partition by r.respondent_id) as m from {_RENDERED} r join {_GROUPS} g on r.parent_key = g.parent_key)"""
+  count(*) over (partition by r.respondent_id) as m, {S.draw(42, 'r.respondent_id', 'r.parent_key')} % {corpus.PRIME} as h,
+  {S.draw('42|target', 'r.respondent_id', 'r.parent_key')} % {corpus.PRIME - 1} + 1 as a from {_RENDERED} r join {_GROUPS} g on r.parent_key = g.parent_key)"""
 
 
-def _ring(n_ctx: int) -> str:
-    return f"""(select t.respondent_id, t.parent_key, string_agg(c.line, chr(10) order by (c.pos - t.pos + t.m) % t.m) as context, count(*) as n_context
-  from rws t join rws c on t.respondent_id = c.respondent_id and (c.pos - t.pos + t.m) % t.m between 1 and {n_ctx} group by 1, 2)"""
+def _contexts(n_ctx: int) -> str:
+    """Each target's own shuffle of the respondent's other groups, cut after n_ctx."""
+    return f"""(select respondent_id, parent_key, string_agg(line, chr(10) order by nth) as context, count(*) as n_context from
+    (select t.respondent_id, t.parent_key, c.line, row_number() over (partition by t.respondent_id, t.parent_key order by (t.a * c.h) % {corpus.PRIME}, c.parent_key) as nth
+     from rws t join rws c on t.respondent_id = c.respondent_id and t.parent_key <> c.parent_key) where nth <= {n_ctx} group by 1, 2)"""
 
 
 _INPUT = """(case when fr then 'Voici des reponses du meme repondant au sondage.' else 'Here are responses from the same survey respondent.' end || chr(10)
@@ -87,7 +90,7 @@ _INPUT = """(case when fr then 'Voici des reponses du meme repondant au sondage.
   || case when len(choices) > 0 then case when fr then 'Choix: ' else 'Choices: ' end || array_to_string(choices, ' / ') || chr(10) else '' end || 'R:')"""
 
 
-@query("leave_one_out", f"with rws as materialized {_ROWS} select * from {_ring(10)}")
+@query("leave_one_out", f"with rws as materialized {_ROWS} select * from {_contexts(10)}")
 def leave_one_out(spark, d):
     *_, items, _, _, rendered = _parts(spark, d)
     rows = corpus.prompted(rendered, groups.question_groups(items))
@@ -97,7 +100,7 @@ def leave_one_out(spark, d):
 @query(
     "sft_questions",
     f"""with rws as materialized {_ROWS} select t.respondent_id, t.parent_key, {_INPUT} as input, answer as output
-    from rws t join {_ring(10)} c on t.respondent_id = c.respondent_id and t.parent_key = c.parent_key join {_PROFILES} p on t.respondent_id = p.respondent_id""",
+    from rws t join {_contexts(10)} c on t.respondent_id = c.respondent_id and t.parent_key = c.parent_key join {_PROFILES} p on t.respondent_id = p.respondent_id""",
 )
 def sft_questions(spark, d):
     _, respondents, items, _, values, rendered = _parts(spark, d)
@@ -108,7 +111,7 @@ def sft_questions(spark, d):
     "sft_grid",
     f"""with rws as materialized {_ROWS} """
     + " union all ".join(
-        f"select '{part}' as mode, {n} as n_ctx, count(*) as examples, cast(sum(n_context) as bigint) as context_lines from {_ring(n)} {extra}"
+        f"select '{part}' as mode, {n} as n_ctx, count(*) as examples, cast(sum(n_context) as bigint) as context_lines from {_contexts(n)} {extra}"
         for part, extra in (("q", ""), ("r", "where respondent_id in (select respondent_id from respondents where respondent_split = 'train')"))
         for n in (10, 15, 25, 50)
     ),
@@ -199,10 +202,10 @@ _QIDX = "(select *, row_number() over (order by variable_name) - 1 as question_i
 @query(
     "task_build",
     f"""with rws as materialized {_ROWS}, qs as {_QIDX}, who as (select respondent_id, coalesce({S.norm('survey_language')}, 'EN') as survey_language, {_FR} as fr from respondents),
-    sz as (select respondent_id, max(m) as m from rws group by 1),
-    pairs as (select w.*, sz.m, q.question_index, {S.draw(42, 'w.respondent_id', 'q.question_index')} % sz.m as start from who w join sz on w.respondent_id = sz.respondent_id cross join qs q),
-    ctx as (select p.respondent_id, p.question_index, string_agg(c.line, chr(10) order by (c.pos - p.start + p.m) % p.m) as context
-      from pairs p join rws c on p.respondent_id = c.respondent_id and (c.pos - p.start + p.m) % p.m < 30 group by 1, 2),
+    pairs as (select w.*, q.question_index, {S.draw('42|target', 'w.respondent_id', 'q.question_index')} % {corpus.PRIME - 1} + 1 as a from who w cross join qs q),
+    ctx as (select respondent_id, question_index, string_agg(line, chr(10) order by nth) as context from
+      (select p.respondent_id, p.question_index, c.line, row_number() over (partition by p.respondent_id, p.question_index order by (p.a * c.h) % {corpus.PRIME}, c.parent_key) as nth
+       from pairs p join rws c on p.respondent_id = c.respondent_id) where nth <= 30 group by 1, 2),
     j as (select p.respondent_id, cast(p.question_index as bigint) as question_index, q.variable_name as question, case when p.fr then {S.pick('true', 'q.')} else {S.pick('false', 'q.')} end as question_text,
       case when p.fr then {S.options('q.options_fr')} else {S.options('q.options')} end as choices, p.fr, p.survey_language, ctx.context, pr.profile
       from pairs p join qs q on p.question_index = q.question_index join ctx on p.respondent_id = ctx.respondent_id and p.question_index = ctx.question_index join {_PROFILES} pr on p.respondent_id = pr.respondent_id)
@@ -375,7 +378,7 @@ def retrieved_context(spark, d):
 @query(
     "chat_messages",
     f"""with rws as materialized {_ROWS}, x as (select t.respondent_id, t.parent_key, {_INPUT} as input, answer as output
-      from rws t join {_ring(10)} c on t.respondent_id = c.respondent_id and t.parent_key = c.parent_key join {_PROFILES} p on t.respondent_id = p.respondent_id)
+      from rws t join {_contexts(10)} c on t.respondent_id = c.respondent_id and t.parent_key = c.parent_key join {_PROFILES} p on t.respondent_id = p.respondent_id)
     select respondent_id, parent_key, cast(to_json([{{'role': 'system', 'content': 'Answer as this respondent.'}}, {{'role': 'user', 'content': input}},
       {{'role': 'assistant', 'content': output}}]) as varchar) as messages from x""",
 )

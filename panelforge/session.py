@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows may be broadcast (rows of a few short columns).
-BROADCAST_ROWS = 200_000
+#: A side that the optimiser's estimate puts below so many bytes may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a local one only if none is set."""
+    """Use the folder the cluster names in spark.checkpoint.dir; without one only a local master gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -30,14 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the size of df, from file sizes; no job runs. Joins are estimated too high."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small; else as it is, and joins shuffle."""
-    return F.broadcast(df) if small(df, rows) else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its estimate is small; else as it is, and adaptive execution decides by real sizes."""
+    return F.broadcast(df) if estimated_bytes(df) <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:
