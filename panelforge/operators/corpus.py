@@ -264,14 +264,20 @@ def choices_union(questions: DataFrame, variables: list[str], column: str = "opt
 
 
 def tasks(
-    respondents: DataFrame, questions: DataFrame, rows: DataFrame, profiles: DataFrame, n_ctx: int = 30, seed: int = 42
+    respondents: DataFrame, questions: DataFrame, rows: DataFrame, profiles: DataFrame, n_ctx: int | None = 30, seed: int = 42,
+    max_questions: int | None = None, max_respondents: int | None = None,
 ) -> DataFrame:
     """Every respondent with every question: the prompt to answer, and what is needed to read the answer.
 
     questions are the target questions; question_index is their place by name. The product is an equi-join
     on that index. Every task has a seeded shuffle of its own over the respondent's answered groups, cut
     after n_ctx; respondents without context have no tasks. Lines and profile are joined once per respondent.
+    max_questions and max_respondents, for trial runs, keep the first by name and by respondent_id.
     """
+    if max_questions is not None:
+        questions = questions.orderBy("variable_name").limit(max_questions)
+    if max_respondents is not None:
+        respondents = respondents.orderBy("respondent_id").limit(max_respondents)
     asked = row_index(questions, "variable_name", "question_index").withColumnRenamed("question", "asked")
     n = questions.count()
     who = respondents.select(

@@ -12,11 +12,30 @@ from panelforge.operators.lookup import add_domain, add_region, codebook_lookup,
 from panelforge.operators.sampling import stratified_split
 
 
-def keep_province(df: DataFrame, column: str, code: int) -> tuple[DataFrame, dict]:
-    """Rows of one province, and how many of all they are; the counts are one aggregate."""
-    kept = df.where(F.col(column) == code)
-    total, n = df.agg(F.count(F.lit(1)), F.count_if(F.col(column) == code)).first()
-    return kept, {"total": total, "kept": n, "percent": 100.0 * n / total if total else 0.0}
+def province_counts(df: DataFrame, column: str, code: int | str) -> DataFrame:
+    """total, kept and percent: how many rows are of one province."""
+    kept, total = F.count_if(F.col(column) == code), F.count(F.lit(1))
+    return df.agg(total.alias("total"), kept.alias("kept"), F.coalesce(100.0 * kept / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("percent"))
+
+
+def keep_province(df: DataFrame, column: str, code: int | str) -> tuple[DataFrame, dict]:
+    """Rows of one province, and how many of all they are."""
+    return df.where(F.col(column) == code), province_counts(df, column, code).first().asDict()
+
+
+def thematic_domains(domains: DataFrame, labels: DataFrame) -> DataFrame:
+    """variable_name, label, domain of every classified variable; the label is "" if the survey lacks the variable.
+
+    domains: variable_name, domain. labels: variable_name, label.
+    """
+    known = labels.select("variable_name", "label").dropDuplicates(["variable_name"])
+    return domains.select("variable_name", "domain").join(known, "variable_name", "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def domain_counts(built: DataFrame) -> DataFrame:
+    """domain, n: variables per domain, and of all of them under TOTAL."""
+    rows = built.rollup("domain").agg(F.count(F.lit(1)).alias("n"), F.grouping("domain").alias("g"))
+    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("domain")).alias("domain"), "n")
 
 
 def chosen_variables(columns: list[str], profile: list[str], classified: list[str]) -> list[str]:
@@ -44,7 +63,7 @@ def prepare_respondents(
     )
     base = add_region(base, regions, "_riding").drop("_riding")
     codes = raw.select(key, *[F.col(v).cast("double").alias(v) for v in labelled]).unpivot(key, labelled, "variable", "code")
-    wide = label_values(codes, value_labels).groupBy(key).pivot("variable", labelled).agg(F.first("value"))
+    wide = label_values(codes, value_labels).groupBy(key).pivot("variable", labelled).agg(F.max("value"))
     out = base.join(wide, key)
     for v in labelled:
         if v in names:

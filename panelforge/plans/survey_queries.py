@@ -9,7 +9,7 @@ from panelforge.functions import survey as V
 from panelforge.functions.options import options_list
 from panelforge.functions.text import normalize_text
 from panelforge.functions.vectors import cosine, embedding, norm
-from panelforge.operators import dedup, embedding as encoders, groups, lookup, prepare, sampling
+from panelforge.operators import dedup, embedding as encoders, groups, lookup, prepare, sampling, simulate
 from panelforge.operators.corpus import parents
 from panelforge.operators.similarity import similarity_index
 from panelforge.plans import sqltext as S
@@ -226,14 +226,31 @@ def localized_values(spark, d):
     select coalesce(split, 'all') as split, count(*) as n from s group by rollup(split)""",
 )
 def thematic_splits(spark, d):
-    q = _t(spark, d, "questions").select("thematic_domain", "split")
-    test = q.where("split = 'test' and thematic_domain is not null").select(F.col("thematic_domain").alias("t")).distinct()
-    marked = q.drop("split").join(test, F.col("thematic_domain") == F.col("t"), "left")
-    domain = F.when(F.col("t").isNotNull(), "test").otherwise(F.col("thematic_domain"))
-    return (
-        marked.select(V.split_of(domain, ["test"], ["_drop"]).alias("split")).rollup("split").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("split", F.coalesce("split", F.lit("all")))
-    )
+    q = _t(spark, d, "questions").select("variable_name", "thematic_domain", "split")
+    # the classification is a parameter of the operator: a list of domain names
+    test = q.where("split = 'test' and thematic_domain is not null").select("thematic_domain").distinct()
+    domains = q.select("variable_name", F.col("thematic_domain").alias("domain"))
+    marked = lookup.add_domain(q.select("variable_name"), domains, [r[0] for r in test.collect()], ["_drop"])
+    return marked.rollup("split").agg(F.count(F.lit(1)).alias("n")).withColumn("split", F.coalesce("split", F.lit("all")))
+
+
+@query(
+    "thematic_domains",
+    """select variable_name, thematic_domain as domain, coalesce(label, '') as label from questions where thematic_domain is not null""",
+)
+def thematic_domains(spark, d):
+    q = _t(spark, d, "questions")
+    domains = q.where("thematic_domain is not null").select("variable_name", F.col("thematic_domain").alias("domain"))
+    return prepare.thematic_domains(domains, q)
+
+
+@query(
+    "domain_counts",
+    """select case when grouping(thematic_domain) = 1 then 'TOTAL' else thematic_domain end as domain, count(*) as n from questions
+    where thematic_domain is not null group by rollup(thematic_domain)""",
+)
+def domain_counts(spark, d):
+    return prepare.domain_counts(thematic_domains(spark, d))
 
 
 @query("split_counts", "select count(*) filter (split = 'train') as train, count(*) filter (split = 'test') as test, count(*) filter (split = 'drop') as drop from questions")
@@ -255,8 +272,7 @@ def embedded_questions(spark, d):
     """select count(*) as total, count(*) filter (province = 'Quebec') as kept, round(100.0 * count(*) filter (province = 'Quebec') / count(*), 6) as percent from respondents""",
 )
 def province_filter(spark, d):
-    kept = F.count_if(F.col("province") == "Quebec")
-    return _t(spark, d, "respondents").agg(F.count(F.lit(1)).alias("total"), kept.alias("kept"), F.round(100.0 * kept / F.count(F.lit(1)), 6).alias("percent"))
+    return prepare.province_counts(_t(spark, d, "respondents"), "province", "Quebec").withColumn("percent", F.round("percent", 6))
 
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -303,6 +319,24 @@ def derived_profiles(spark, d):
     )
 
 
+@query(
+    "language_profiles",
+    f"""with f as (select respondent_id, age, case when respondent_id % 3 = 0 then '1' end as en, case when respondent_id % 5 < 2 then '1' end as fr,
+      case when respondent_id % 7 = 0 then '1' end as other, survey_language as ui, voted_2019 as v from respondents)
+    select respondent_id, case when en is not null and fr is null and other is null then 'English' when fr is not null and en is null and other is null then 'French'
+        when en is not null or fr is not null then case when coalesce(ui, 'EN') = 'FR-CA' then 'French' else 'English' end
+        when other is not null then 'Other' else 'Not specified' end as language,
+      case when coalesce(v, 'nan') = 'no' then 'no' else 'yes' end as voted from f""",
+)
+def language_profiles(spark, d):
+    """Every combination of the language flags, decided by the interface language where they tie."""
+    i, one = F.col("respondent_id"), F.lit("1")
+    en, fr, other = F.when(i % 3 == 0, one), F.when(i % 5 < 2, one), F.when(i % 7 == 0, one)
+    return _t(spark, d, "respondents").select(
+        "respondent_id", V.language_profile(en, fr, [other], F.col("survey_language")).alias("language"), V.voted(F.col("voted_2019"), "no").alias("voted")
+    )
+
+
 # -- groups
 
 
@@ -369,6 +403,16 @@ def status_counts(spark, d):
     )
 
 
+@query(
+    "run_status",
+    """select count(*) filter (simulated_response is not null) as ok, count(*) filter (simulated_response is null and model_name is not null) as error, count(*) as total
+    from condition1_samples""",
+)
+def run_status(spark, d):
+    status = F.when(F.col("simulated_response").isNotNull(), "ok").when(F.col("model_name").isNotNull(), "error")
+    return simulate.status_counts(_t(spark, d, "condition1_samples").withColumn("status", status))
+
+
 _SPLIT = f"""(select respondent_id, language, case when pos < round(0.2 * n) then 'test' else 'train' end as part from
   (select *, row_number() over (partition by stratum order by {S.key(42, 'stratum', 'respondent_id')}, respondent_id) - 1 as pos, count(*) over (partition by stratum) as n
    from (select respondent_id, language, case when language = 'French' then 'FR' else 'non-FR' end as stratum from respondents)))"""
