@@ -267,8 +267,9 @@ def leaked_items(
 
     def item_of(ws: tuple, rare: tuple) -> tuple:
         few = set(rare)
+        runs = {ws[p : p + 20] for p in range(len(ws) - 19)}
         bare = any(few.isdisjoint(ws[p : p + 20]) for p in range(len(ws) - 19))
-        return near_forms(list(ws)), few, {f for w in few if len(w) > 4 for f in deletions(w)}, bare
+        return near_forms(list(ws)), few, {f for w in few if len(w) > 4 for f in deletions(w)}, bare, runs
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told = Memo(item_of, 1000)
@@ -276,13 +277,17 @@ def leaked_items(
             good = []
             for r in b.itertuples():
                 item = list(r.item)
-                near, few, forms, bare = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
+                near, few, forms, bare, runs = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
                 reach, text, last = 2 * len(item) + 40, [], 0
                 for p in r.places:  # the words around all shared windows, None where others are left out
                     lo, hi = max(last, p - reach), min(len(r.doc), p + reach)
                     if hi > lo:
                         text += [*([None] if lo > last else []), *r.doc[lo:hi]]
                         last = hi
+                # an unchanged run of 20 words needs no alignment
+                if not runs.isdisjoint(tuple(text[p : p + 20]) for p in range(len(text) - 19)):
+                    good.append(True)
+                    continue
                 good.append((bare or has_any(text, few, forms)) and holds_stretch(text, item, near, few))
             yield b.loc[good, ["d", "i"]]
 
