@@ -6,11 +6,14 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from panelforge.session import spread
+from panelforge.session import cut, spread
 
 #: The split pattern and the byte alphabet of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,32 +108,65 @@ def replay(words: list[str], first: list[int], merges: dict) -> list[list[int]]:
 
 
 def encode_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER,
-    keep_words: int = 400_000,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER
 ) -> DataFrame:
     """id_col and ids (array<int>) of every row: no special tokens, their strings are ordinary text.
 
-    NULL and empty texts give an empty list; repeated rows stay; texts of any length are encoded whole.
-    Every task replays the merges over the distinct words of its slice of the corpus (one Arrow batch
-    at a time, words known from earlier batches are not replayed again; keep_words bounds that memory,
-    not the result). So nothing is shuffled and no dictionary of the whole corpus is built or sent.
-    The merge list (a file of about 1.5 MB) is read on the driver and broadcast.
+    NULL and empty texts give an empty list; repeated rows stay; texts of any length are encoded whole; an
+    empty table gives an empty result.
+
+    Every text is split into words once. A slice of rows (one Arrow batch) keeps its words in a dictionary of
+    its own and its texts as places in it. The distinct words of all slices are the corpus's words: the
+    merges are replayed over them, by partitions of words (see replay), so each word is merged once, not
+    once per task. Their ids go back to the slices that have the word, and a slice's texts are put
+    together from its dictionary. Texts move as places of two bytes a word (four in a slice of over
+    65,535 words), words as dictionary entries; nothing is broadcast but the merge list (1.5 MB).
     """
     shared = df.sparkSession.sparkContext.broadcast(load_merges(tokenizer))
+    kind = df.schema[id_col].dataType.simpleString()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, task = regex.compile(SPLIT), TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
+            known: dict[str, int] = {}
+            spots = [
+                np.array([known.setdefault(w, len(known)) for w in split.findall(t)] if isinstance(t, str) and t else [], np.int64)
+                for t in batch["_text"]
+            ]
+            wide, piece = len(known) > 65_535, (task << 24) + n
+            yield pd.DataFrame(
+                {
+                    "piece": piece, "_id": batch["_id"], "spots": [x.astype("<u4" if wide else "<u2").tobytes() for x in spots],
+                    "wide": wide, "word": None, "place": -1,
+                }
+            )
+            yield pd.DataFrame(
+                {"piece": piece, "_id": None, "spots": None, "wide": wide, "word": [w.encode("utf-8", "surrogatepass") for w in known], "place": range(len(known))}
+            )
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, merges = shared.value
-        split = regex.compile(SPLIT)
-        known: dict[str, list[int]] = {}
-        for batch in batches:
-            texts = [split.findall(t) if isinstance(t, str) and t else [] for t in batch["_text"]]
-            if len(known) > keep_words:
-                known.clear()
-            fresh = [w for w in {w for t in texts for w in t} if w not in known]
-            known.update(zip(fresh, replay(fresh, first, merges)))
-            ids = [[x for w in t for x in known[w]] for t in texts]
-            yield pd.DataFrame({"_id": batch["_id"], "ids": ids})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text")
-    return spread(rows).mapInPandas(encode, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+        for b in batches:
+            ws = [bytes(w).decode("utf-8", "surrogatepass") for w in b["word"]]
+            yield pd.DataFrame({"word": b["word"], "ids": replay(ws, first, merges)})
+
+    def joined(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        words = words.sort_values("place")
+        lengths = words["ids"].map(len).to_numpy(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        flat = np.concatenate(words["ids"].tolist()).astype("i4") if len(words) else np.zeros(0, "i4")
+        out = []
+        for spots, wide in zip(texts["spots"], texts["wide"]):
+            s = np.frombuffer(spots, "<u4" if wide else "<u2").astype(np.int64)
+            n = lengths[s]
+            ends = np.cumsum(n)
+            out.append(flat[np.repeat(begins[s] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+        return pd.DataFrame({"_id": texts["_id"], "ids": out})
+
+    rows = spread(df.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text"))
+    pieces = cut(rows.mapInPandas(split_texts, f"piece bigint, _id {kind}, spots binary, wide boolean, word binary, place int"))
+    texts, entries = pieces.where("place < 0").select("piece", "_id", "spots", "wide"), pieces.where("place >= 0").select("piece", "word", "place")
+    ids = entries.select("word").distinct().mapInPandas(encoded, "word binary, ids array<int>")
+    known = entries.join(ids, "word").select(F.col("piece").alias("slice"), "place", "ids")
+    both = texts.groupBy("piece").cogroup(known.groupBy("slice"))
+    return both.applyInPandas(joined, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
