@@ -13,12 +13,15 @@ WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 
 # Texts that stand for a missing answer, and words without content (English and French).
 MISSING = ["", "null", "none", "nan"]
-STOPWORDS = (
-    "a an and are as at au aux avec be by ce cet cette ces comme dans de des do does du elle en est et etre for from "
-    "had has have il in is it je la le les leur leurs lui mais me mes moi mon ne ni nos notre nous of on or ou par pas "
-    "pour qu que qui sa sans se ses son sont sur that the these this to un une vos votre vous what which who whom why "
-    "when where with would you your"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "au", "aux", "avec", "be", "by", "ce", "cet", "cette", "ces",
+    "comme", "dans", "de", "des", "do", "does", "du", "elle", "en", "est", "et", "etre", "for", "from", "had",
+    "has", "have", "il", "in", "is", "it", "je", "la", "le", "les", "leur", "leurs", "lui", "mais", "me",
+    "mes", "moi", "mon", "ne", "ni", "nos", "notre", "nous", "of", "on", "or", "ou", "par", "pas", "pour",
+    "qu", "que", "qui", "sa", "sans", "se", "ses", "son", "sont", "sur", "that", "the", "these", "this", "to",
+    "un", "une", "vos", "votre", "vous", "what", "which", "who", "whom", "why", "when", "where", "with",
+    "would", "you", "your",
+]
 # Option bullets, and lines and prefixes that are no part of a printed question.
 BULLETS = "▢□■;"
 TIMING_LINES = ["Timing", "First Click", "Last Click", "Page Submit", "Click Count"]

@@ -337,6 +337,55 @@ def language_profiles(spark, d):
     )
 
 
+# a raw coded survey of the respondents: codes, flags, birth years and ridings follow from the id
+_CODES = {
+    "cps21_province": {0: "Ontario", 1: "Quebec", 2: "Manitoba"}, "cps21_education": {0: "None", 1: "School", 2: "College", 3: "University"},
+    "cps21_vote_2019": {0: "Voted", 1: "Did not vote", 2: "Refused"},
+}
+
+
+def _coded(variable: str, code: str) -> str:
+    """A code's label; a code without one is its number, a missing one is nan."""
+    told = " ".join(f"when {c} then '{label}'" for c, label in _CODES[variable].items())
+    return f"coalesce(case {code} {told} end, cast(cast({code} as double) as varchar), 'nan')"
+
+
+_RAW = """(select respondent_id, survey_language as ui, 1930 + respondent_id % 71 as yob, respondent_id % 3 = 0 as en, respondent_id % 5 < 2 as fr,
+  respondent_id % 7 = 0 as other, case when respondent_id % 27 = 26 then ' ' else 'NATION_' || (respondent_id % 27) end as fedname,
+  case when respondent_id % 11 <> 0 then respondent_id % 4 end as province, respondent_id % 5 as education, respondent_id % 3 as vote from respondents)"""
+
+
+@query(
+    "prepared_respondents",
+    f"""with made as (select respondent_id, coalesce(ui, 'EN') as survey_language, cast(2021 - yob as varchar) as age,
+      case when en and not fr and not other then 'English' when fr and not en and not other then 'French'
+        when en or fr then case when coalesce(ui, 'EN') = 'FR-CA' then 'French' else 'English' end when other then 'Other' else 'Not specified' end as language,
+      case when {S.strip('fedname')} = '' then 'Inconnu' when r_name is not null then {S.strip('fedname')} || ' (' || r_name || ')' else {S.strip('fedname')} end as riding,
+      {_coded('cps21_province', 'province')} as province, {_coded('cps21_education', 'education')} as education,
+      case when {_coded('cps21_vote_2019', 'vote')} = 'Did not vote' then 'no' else 'yes' end as voted_2019
+      from {_RAW} left join (select n_name, r_name from nation join region on n_regionkey = r_regionkey) on {S.strip('fedname')} = n_name),
+    placed as (select *, case when language = 'French' then 'FR' else 'non-FR' end as s from made)
+    select * exclude (s), case when row_number() over (partition by s order by {S.key(42, 's', 'respondent_id')}, respondent_id) - 1 < round(0.2 * count(*) over (partition by s))
+      then 'test' else 'train' end as respondent_split from placed""",
+)
+def prepared_respondents(spark, d):
+    """The table of respondents from a coded survey: labels, age, language, riding, vote and split."""
+    i = F.col("respondent_id")
+    flag = lambda c: F.when(c, F.lit(1))
+    raw = _t(spark, d, "respondents").select(
+        "respondent_id", F.col("survey_language").alias("UserLanguage"), (1930 + i % 71).alias("cps21_yob"), flag(i % 3 == 0).alias("cps21_language_1"),
+        flag(i % 5 < 2).alias("cps21_language_2"), flag(i % 7 == 0).alias("cps21_language_3"),
+        F.when(i % 27 == 26, " ").otherwise(F.concat(F.lit("NATION_"), (i % 27).cast("string"))).alias("fedname"),
+        F.when(i % 11 != 0, i % 4).alias("cps21_province"), (i % 5).alias("cps21_education"), (i % 3).alias("cps21_vote_2019"),
+    )
+    labels = spark.createDataFrame([(v, float(c), x) for v, codes in _CODES.items() for c, x in codes.items()], "variable string, code double, label string")
+    regions = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+    variables = prepare.chosen_variables(raw.columns, ["cps21_yob", "cps21_language_1", "cps21_province"], ["cps21_education", "cps21_vote_2019", "cps21_absent"])
+    names = {"cps21_province": "province", "cps21_education": "education"}
+    made = prepare.prepare_respondents(raw, variables, labels, regions, names=names, others=["cps21_language_3"])
+    return made.select("respondent_id", "survey_language", "age", "language", "riding", "province", "education", "voted_2019", "respondent_split")
+
+
 # -- groups
 
 
