@@ -125,12 +125,20 @@ def near_forms(item: list[str]) -> dict[str, list[int]]:
 forms_of = Memo(deletions, 100_000)
 
 
-def has_any(text: list[str], rare: set[str], rare_forms: set[str]) -> bool:
-    """True if a word of the text is one of the rare words or at most one edit from one."""
-    own = {w for w in text if w is not None}
-    return not rare.isdisjoint(own) or any(
-        not rare_forms.isdisjoint(forms_of(w)) for w in own if len(w) > 4
-    )
+def rare_needed(item: list[str], rare: set[str], least: int = 20) -> int:
+    """How many of an item's rare words any text that holds a stretch of it must have, see holds_stretch."""
+    return min((-(-len(rare.intersection(item[p : p + least])) // 3) for p in range(len(item) - least + 1)), default=0)
+
+
+def rare_present(text: list[str], rare_forms: list[set[str]], enough: int) -> bool:
+    """True if at least `enough` of the rare words stand in text, as they are or one letter off."""
+    if not enough:
+        return True
+    own = set()
+    for w in text:
+        if w is not None:
+            own.update(forms_of(w) if len(w) > 4 else (w,))
+    return sum(not own.isdisjoint(forms) for forms in rare_forms) >= enough
 
 
 def holds_stretch(
@@ -266,10 +274,9 @@ def leaked_items(
     )
 
     def item_of(ws: tuple, rare: tuple) -> tuple:
-        few = set(rare)
-        runs = {ws[p : p + 20] for p in range(len(ws) - 19)}
-        bare = any(few.isdisjoint(ws[p : p + 20]) for p in range(len(ws) - 19))
-        return near_forms(list(ws)), few, {f for w in few if len(w) > 4 for f in deletions(w)}, bare, runs
+        few, item = set(rare), list(ws)
+        forms = [deletions(w) if len(w) > 4 else {w} for w in few]
+        return near_forms(item), few, forms, rare_needed(item, few), {ws[p : p + 20] for p in range(len(ws) - 19)}
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told = Memo(item_of, 1000)
@@ -277,7 +284,7 @@ def leaked_items(
             good = []
             for r in b.itertuples():
                 item = list(r.item)
-                near, few, forms, bare, runs = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
+                near, few, forms, enough, runs = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
                 reach, text, last = 2 * len(item) + 40, [], 0
                 for p in r.places:  # the words around all shared windows, None where others are left out
                     lo, hi = max(last, p - reach), min(len(r.doc), p + reach)
@@ -288,7 +295,7 @@ def leaked_items(
                 if not runs.isdisjoint(tuple(text[p : p + 20]) for p in range(len(text) - 19)):
                     good.append(True)
                     continue
-                good.append((bare or has_any(text, few, forms)) and holds_stretch(text, item, near, few))
+                good.append(rare_present(text, forms, enough) and holds_stretch(text, item, near, few))
             yield b.loc[good, ["d", "i"]]
 
     found = pairs.mapInPandas(verified, f"d {kind}, i {item_kind}")
