@@ -255,6 +255,30 @@ def sft_respondents(
     return made.select("respondent_id", "target", text.alias("input"), F.col("value").alias("output"))
 
 
+def sft_retrieved(
+    contexts: DataFrame, answers: DataFrame, questions: DataFrame, respondents: DataFrame, profiles: DataFrame
+) -> DataFrame:
+    """respondent_id, target, input, output: one example per answered question that has a retrieved context.
+
+    contexts: respondent_id, target, context, such as evaluate.retrieved_context gives. The output is the
+    respondent's own answer to the target.
+    """
+    told = answers.select("respondent_id", F.col("variable_name").alias("target"), normalize_text(F.col("value")).alias("output")).where("output is not null")
+    who = respondents.select("respondent_id", is_french(F.col("survey_language")).alias("is_french"))
+    asked = questions.select(
+        F.col("variable_name").alias("target"), "label", F.col("question").alias("asked"), "label_fr", "question_fr", "options", "options_fr"
+    )
+    made = (
+        contexts.select("respondent_id", "target", "context").join(told, ["respondent_id", "target"]).join(who, "respondent_id")
+        .join(profiles.select("respondent_id", "profile"), "respondent_id").join(asked, "target")
+    )
+    fr = F.col("is_french")
+    prompt = pick_lang(fr, F.col("label"), F.col("asked"), F.col("label_fr"), F.col("question_fr"))
+    offered = F.when(fr, options_list(F.col("options_fr"))).otherwise(options_list(F.col("options")))
+    text = input_text(F.col("profile"), F.col("context"), prompt, fr, choices_line(offered, fr))
+    return made.select("respondent_id", "target", text.alias("input"), "output")
+
+
 def choices_union(questions: DataFrame, variables: list[str], column: str = "options") -> DataFrame:
     """choices: option labels of the named questions, in the order of the names, each once."""
     place = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable_name"))

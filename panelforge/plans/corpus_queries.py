@@ -359,15 +359,15 @@ def similarity_bins(spark, d):
     return evaluate.by_similarity(_tv(spark, d), index, "question", "tv", 20).withColumn("mean", F.round("mean", 6))
 
 
-@query(
-    "retrieved_context",
-    f"""with e as (select variable_name, cast(embedding as double[]) as v from questions where split = 'test' and len(embedding) = 64),
+_RETRIEVED = f"""with e as (select variable_name, cast(embedding as double[]) as v from questions where split = 'test' and len(embedding) = 64),
     p as (select t.variable_name as target, c.variable_name as near, round(case when list_dot_product(t.v, t.v) = 0 or list_dot_product(c.v, c.v) = 0 then 0.0
       else list_cosine_similarity(t.v, c.v) end, 9) as s from e t, e c where t.variable_name <> c.variable_name),
     r as (select *, row_number() over (partition by target order by s desc, near) as r from p)
     select a.respondent_id, r.target, string_agg('Q: ' || coalesce(q.label, '') || ' R: ' || a.value, chr(10) order by r.r) as context
-    from r join {_ANSWERS} a on a.variable_name = r.near join questions q on q.variable_name = r.near where r.r <= 5 group by 1, 2""",
-)
+    from r join {_ANSWERS} a on a.variable_name = r.near join questions q on q.variable_name = r.near where r.r <= 5 group by 1, 2"""
+
+
+@query("retrieved_context", _RETRIEVED)
 def retrieved_context(spark, d):
     """Each respondent's own answers to the nearest other test questions of a target."""
     questions = read_table(spark, d, "questions")
@@ -375,6 +375,21 @@ def retrieved_context(spark, d):
     return evaluate.retrieved_context(index, answers(spark, d), questions)
 
 
+@query(
+    "sft_retrieved",
+    f"""with ctx as ({_RETRIEVED}), j as (select c.respondent_id, c.target, c.context, r.fr, p.profile, {S.norm('a.value')} as output,
+      case when r.fr then {S.pick('true', 'q.')} else {S.pick('false', 'q.')} end as prompt, case when r.fr then {S.options('q.options_fr')} else {S.options('q.options')} end as choices
+      from ctx c join {_ANSWERS} a on c.respondent_id = a.respondent_id and c.target = a.variable_name join (select respondent_id, {_FR} as fr from respondents) r on c.respondent_id = r.respondent_id
+      join {_PROFILES} p on c.respondent_id = p.respondent_id join questions q on q.variable_name = c.target where {S.norm('a.value')} is not null)
+    select respondent_id, target, {_INPUT} as input, output from j""",
+)
+def sft_retrieved(spark, d):
+    """Examples whose context is what the respondent answered to the nearest other questions."""
+    questions, respondents, told = read_table(spark, d, "questions"), read_table(spark, d, "respondents"), answers(spark, d)
+    profiles = corpus.profile_lines(respondents, lookup.value_map(questions))
+    return corpus.sft_retrieved(retrieved_context(spark, d), told, questions, respondents, profiles)
+
+
 @query(
     "chat_messages",
     f"""with rws as materialized {_ROWS}, x as (select t.respondent_id, t.parent_key, {_INPUT} as input, answer as output
