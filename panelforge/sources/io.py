@@ -72,13 +72,19 @@ def write_examples(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def write_domains(df: DataFrame, path: str) -> None:
-    """Write variable_name, label, domain as one indented JSON object; the table is a small dimension."""
-    rows = df.select("variable_name", "label", "domain").orderBy("variable_name").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many rows for one JSON object")
-    found = {r["variable_name"]: {"label": r["label"], "domain": r["domain"]} for r in rows}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(found, f, ensure_ascii=False, indent=4)
+    """Write variable_name, label, domain as one indented JSON object, entry by entry, to any file system."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        lead = "{"
+        for r in df.select("variable_name", "label", "domain").orderBy("variable_name").toLocalIterator():
+            entry = json.dumps({"label": r["label"], "domain": r["domain"]}, ensure_ascii=False, indent=4).replace("\n", "\n    ")
+            out.write(bytearray(f"{lead}\n    {json.dumps(r['variable_name'], ensure_ascii=False)}: {entry}".encode()))
+            lead = ","
+        out.write(bytearray(("{}" if lead == "{" else "\n}").encode()))
+    finally:
+        out.close()
 
 
 def guard_column(df: DataFrame, column: str, force: bool = False) -> DataFrame:
