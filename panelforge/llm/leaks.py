@@ -220,11 +220,11 @@ def leaked_items(
             ws = [words(t) for t in b["t"]]
             pairs = [pair_hashes(np.array([word_hash(w) for w in x], np.uint64)).view(np.int64) if len(x) > 1 else [] for x in ws]
             keys = [item_keys(x, embedding).view(np.int64) for x in ws]
-            yield pd.DataFrame({"i": b["i"], "item": ws, "pairs": pairs, "keys": keys})
+            yield pd.DataFrame({"i": b["i"], "item": [" ".join(x) for x in ws], "pairs": pairs, "keys": keys})
 
-    known = cut(held.distinct().mapInPandas(prepared, f"i {item_kind}, item array<string>, pairs array<bigint>, keys array<bigint>"))
-    common = known.select("i", F.explode(F.array_distinct("item")).alias("w"))
-    rare = common.join(common.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 3"), "w").groupBy("i").agg(F.collect_set("w").alias("rare"))
+    known = cut(held.distinct().mapInPandas(prepared, f"i {item_kind}, item string, pairs array<bigint>, keys array<bigint>"))
+    common = known.select("i", F.explode(F.array_distinct(F.split("item", " "))).alias("w"))
+    rare = common.join(common.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 3"), "w").groupBy("i").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("rare"))
     owners = known.select("i", F.explode("keys").alias("key"))
     has_pair, has_key = Sieve(known.select(F.explode("pairs").alias("h")).distinct(), "h"), Sieve(owners.select("key").distinct(), "key")
 
@@ -256,7 +256,7 @@ def leaked_items(
                 if hits:
                     yield pd.DataFrame(
                         {
-                            "d": b["d"].iloc[list(hits)].to_numpy(), "doc": [texts[d] for d in hits],
+                            "d": b["d"].iloc[list(hits)].to_numpy(), "doc": [" ".join(texts[d]) for d in hits],
                             "keys": [[k for k, _ in x] for x in hits.values()], "places": [[p for _, p in x] for x in hits.values()],
                         }
                     )
@@ -264,7 +264,7 @@ def leaked_items(
     docs = spread(documents.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{doc_text}`").alias("t"))).where(
         "d is not null and t is not null"
     )
-    likely_docs = cut(docs.mapInPandas(search, f"d {kind}, doc array<string>, keys array<bigint>, places array<int>").withColumn("row", F.monotonically_increasing_id()))
+    likely_docs = cut(docs.mapInPandas(search, f"d {kind}, doc string, keys array<bigint>, places array<int>").withColumn("row", F.monotonically_increasing_id()))
     places = likely_docs.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", "x.keys", "x.places")
     pairs = (
         places.join(owners, F.col("keys") == F.col("key")).groupBy("row", "i").agg(F.array_sort(F.collect_set("places")).alias("places"))
@@ -273,23 +273,23 @@ def leaked_items(
         .join(rare, "i", "left")
     )
 
-    def item_of(ws: tuple, rare: tuple) -> tuple:
-        few, item = set(rare), list(ws)
+    # words travel as one text, not as lists, which cost more to read than to cut up again
+    def item_of(text: str, rare: str) -> tuple:
+        few, item = set(rare.split()), text.split()
         forms = [deletions(w) if len(w) > 4 else {w} for w in few]
-        return near_forms(item), few, forms, rare_needed(item, few), {ws[p : p + 20] for p in range(len(ws) - 19)}
+        return item, near_forms(item), few, forms, rare_needed(item, few), {tuple(item[p : p + 20]) for p in range(len(item) - 19)}
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told = Memo(item_of, 1000)
         for b in batches:
             good = []
             for r in b.itertuples():
-                item = list(r.item)
-                near, few, forms, enough, runs = told(tuple(item), tuple(sorted(r.rare)) if r.rare is not None else ())
-                reach, text, last = 2 * len(item) + 40, [], 0
+                item, near, few, forms, enough, runs = told(r.item, r.rare or "")
+                doc, reach, text, last = r.doc.split(), 2 * len(item) + 40, [], 0
                 for p in r.places:  # the words around all shared windows, None where others are left out
-                    lo, hi = max(last, p - reach), min(len(r.doc), p + reach)
+                    lo, hi = max(last, p - reach), min(len(doc), p + reach)
                     if hi > lo:
-                        text += [*([None] if lo > last else []), *r.doc[lo:hi]]
+                        text += [*([None] if lo > last else []), *doc[lo:hi]]
                         last = hi
                 # an unchanged run of 20 words needs no alignment
                 if not runs.isdisjoint(tuple(text[p : p + 20]) for p in range(len(text) - 19)):
