@@ -130,15 +130,17 @@ def rare_needed(item: list[str], rare: set[str], least: int = 20) -> int:
     return min((-(-len(rare.intersection(item[p : p + least])) // 3) for p in range(len(item) - least + 1)), default=0)
 
 
-def rare_present(text: list[str], rare_forms: list[set[str]], enough: int) -> bool:
-    """True if at least `enough` of the rare words stand in text, as they are or one letter off."""
-    if not enough:
-        return True
+def all_forms(text: list[str]) -> set[str]:
+    """The words of a text and, of longer ones, the forms with one letter less."""
     own = set()
-    for w in text:
-        if w is not None:
-            own.update(forms_of(w) if len(w) > 4 else (w,))
-    return sum(not own.isdisjoint(forms) for forms in rare_forms) >= enough
+    for w in set(text):
+        own.update(forms_of(w) if len(w) > 4 else (w,))
+    return own
+
+
+def rare_present(own: set[str], rare_forms: list[set[str]], enough: int) -> bool:
+    """True if at least `enough` of the rare words stand in a text of these forms, as they are or one letter off."""
+    return not enough or sum(not own.isdisjoint(forms) for forms in rare_forms) >= enough
 
 
 def holds_stretch(
@@ -281,11 +283,16 @@ def leaked_items(
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told = Memo(item_of, 1000)
+        # the pairs of one document come one after the other
+        cut_up = Memo(lambda text: (text.split(), all_forms(text.split())), 64)
         for b in batches:
             good = []
             for r in b.itertuples():
                 item, near, few, forms, enough, runs = told(r.item, r.rare or "")
-                doc, reach, text, last = r.doc.split(), 2 * len(item) + 40, [], 0
+                (doc, own), reach, text, last = cut_up(r.doc), 2 * len(item) + 40, [], 0
+                if not rare_present(own, forms, enough):
+                    good.append(False)
+                    continue
                 for p in r.places:  # the words around all shared windows, None where others are left out
                     lo, hi = max(last, p - reach), min(len(doc), p + reach)
                     if hi > lo:
@@ -295,7 +302,7 @@ def leaked_items(
                 if not runs.isdisjoint(tuple(text[p : p + 20]) for p in range(len(text) - 19)):
                     good.append(True)
                     continue
-                good.append(rare_present(text, forms, enough) and holds_stretch(text, item, near, few))
+                good.append(holds_stretch(text, item, near, few))
             yield b.loc[good, ["d", "i"]]
 
     found = pairs.mapInPandas(verified, f"d {kind}, i {item_kind}")
