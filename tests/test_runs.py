@@ -1,9 +1,11 @@
 """Contexts per target, replies of endpoints, counts and option lines."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import codebook, corpus, prepare, simulate
+from panelforge.operators import codebook, contexts, corpus, prepare, simulate
 from panelforge.session import BROADCAST_BYTES, broadcast_if_small, estimated_bytes
 
 
@@ -35,6 +37,44 @@ def test_few_lines_below_the_cut_fall_back_to_all(spark):
         assert {r["n_context"] for r in got} == {min(10, n - 1)}
 
 
+def by_hand(lines, target, n):
+    """The context of one target as the SQL has it: places target * h modulo the prime, then keys."""
+    order = sorted((target * h % contexts.PRIME, key, line) for key, line, h in lines)
+    return "\n".join(line for *_, line in order[:n])
+
+
+def test_targets_of_one_respondent_in_several_tasks(spark, monkeypatch):
+    rows = rows_of(spark, 300)
+    monkeypatch.setattr(corpus, "BLOCK_PAIRS", 3000)
+    told = corpus.leave_one_out(rows, 10)
+    assert told.select(F.spark_partition_id()).distinct().count() > 1
+    drawn = {(r[0], r[1]): r[2] for r in rows.select("respondent_id", "parent_key", corpus.target_draw(42, F.col("respondent_id"), F.col("parent_key"))).collect()}
+    lines = {r[0]: [tuple(x) for x in r[1]] for r in corpus.line_arrays(rows).collect()}
+    got = told.collect()
+    assert len(got) == 600 and {r["n_context"] for r in got} == {10}
+    for r in got:
+        others = [x for x in lines[r["respondent_id"]] if x[0] != r["parent_key"]]
+        assert r["context"] == by_hand(others, drawn[r["respondent_id"], r["parent_key"]], 10)
+
+
+def test_first_lines_of_extreme_draws():
+    top = contexts.PRIME - 1
+    a, h = np.array([1, 2, top, 12345]), np.array([0, 1, top, 77, 77, 2**30])
+    for n in (1, 3, None):
+        chosen, counts = contexts.first_lines(a, h, n)
+        want = [sorted(range(6), key=lambda i: (int(x) * int(h[i]) % contexts.PRIME, i))[: n or 6] for x in a]
+        assert counts.tolist() == [n or 6] * 4 and chosen.tolist() == sum(want, [])
+    # own lines are left out, equal draws come in order of key, also where only a part is sorted
+    chosen, counts = contexts.first_lines(np.array([1, 1]), np.full(40, 5), 3, np.arange(40) == np.array([[0], [39]]))
+    assert counts.tolist() == [3, 3] and chosen.tolist() == [1, 2, 3, 0, 1, 2]
+
+
+def test_lines_without_text_are_counted_only():
+    lines = pa.array([[{"line": "x", "h": 1}, {"line": None, "h": 2}]], pa.list_(pa.struct([("line", pa.string()), ("h", pa.int64())])))
+    (_, _, context, counts), = contexts.context_batches(lines, None, lambda i: (np.array([1]), None, None))
+    assert context.to_pylist() == ["x"] and counts.tolist() == [2]
+
+
 def test_replies_of_every_shape():
     for reply in (
         [{"generated_text": "a"}], [{"text": "a"}], {"generated_text": "a"}, {"choices": [{"text": "a"}]},
