@@ -127,6 +127,30 @@ def test_trial_runs_keep_the_first(spark):
     assert corpus.tasks(respondents, questions.limit(0), rows_of(spark, 5), profiles).count() == 0
 
 
+def test_tasks_in_slices_and_blocks(spark, monkeypatch):
+    """Questions in several broadcast slices, each respondent's tasks in several blocks: as by hand."""
+    questions = spark.createDataFrame(
+        [(f"q{i:02d}", f"L{i}", "W?", '["a","b"]', f"F{i}", "", '["c"]') for i in range(20)],
+        "variable_name string, label string, question string, options string, label_fr string, question_fr string, options_fr string",
+    )
+    respondents = spark.createDataFrame([(1, "EN"), (2, "FR-CA")], "respondent_id bigint, survey_language string")
+    profiles = respondents.select("respondent_id", F.lit("- Age: 4").alias("profile"))
+    rows = rows_of(spark, 12)
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(corpus, "BLOCK_PAIRS", 48)
+    made = corpus.tasks(respondents, questions, rows, profiles, 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= plan.count("MapInArrow") > 2
+    drawn = respondents.crossJoin(spark.range(20).toDF("q")).select("respondent_id", "q", corpus.target_draw(42, F.col("respondent_id"), F.col("q")))
+    drawn = {(r[0], r[1]): r[2] for r in drawn.collect()}
+    lines = {r[0]: [tuple(x) for x in r[1]] for r in corpus.line_arrays(rows).collect()}
+    got = {(r["respondent_id"], r["question_index"]): r for r in made.collect()}
+    assert set(got) == set(drawn)
+    for (who, at), r in got.items():
+        assert f"\n\n{by_hand(lines[who], drawn[who, at], 3)}\n\n" in r["input"]
+        assert r["question"] == f"q{at:02d}" and r["question_text"] == f"{'LF'[who - 1]}{at}" and r["choices"] == (["a", "b"] if who == 1 else ["c"])
+
+
 def test_broadcast_follows_the_estimate(spark):
     small, large = spark.range(10), spark.range(BROADCAST_BYTES)
     assert estimated_bytes(small) < BROADCAST_BYTES < estimated_bytes(large)
