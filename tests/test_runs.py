@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import codebook, contexts, corpus, prepare, simulate
+from panelforge.plans import corpus_queries
 from panelforge.session import BROADCAST_BYTES, broadcast_if_small, estimated_bytes
 
 
@@ -151,6 +152,14 @@ def test_tasks_in_slices_and_blocks(spark, monkeypatch):
         assert r["question"] == f"q{at:02d}" and r["question_text"] == f"{'LF'[who - 1]}{at}" and r["choices"] == (["a", "b"] if who == 1 else ["c"])
 
 
+def test_grid_has_every_cell(spark):
+    made = spark.createDataFrame([(1, 12, True), (2, 60, None)], "respondent_id bigint, n_context bigint, trained boolean")
+    got = {(r["mode"], r["n_ctx"]): (r["examples"], r["context_lines"]) for r in corpus_queries._grid_counts(made).collect()}
+    assert got[("q", 10)] == (2, 20) and got[("q", 50)] == (2, 62) and got[("r", 15)] == (1, 12) and len(got) == 8
+    none = corpus_queries._grid_counts(made.limit(0)).collect()
+    assert len(none) == 8 and {(r["examples"], r["context_lines"]) for r in none} == {(0, None)}
+
+
 def test_broadcast_follows_the_estimate(spark):
     small, large = spark.range(10), spark.range(BROADCAST_BYTES)
     assert estimated_bytes(small) < BROADCAST_BYTES < estimated_bytes(large)
