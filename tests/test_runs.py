@@ -165,3 +165,14 @@ def test_broadcast_follows_the_estimate(spark):
     assert estimated_bytes(small) < BROADCAST_BYTES < estimated_bytes(large)
     assert "broadcast" in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
     assert broadcast_if_small(large) is large
+
+
+def test_batches_of_contexts_go_by_bytes():
+    """However long the lines and however many the targets are, no batch of contexts is large."""
+    for n, size, n_ctx in ((20, 2_000, 30), (300, 5_000, None), (600, 2_000, 30)):
+        lines = pa.array([[{"line": f"{i:04d}" + "x" * size, "h": 7 + i} for i in range(n)]] * 2)
+        made = list(contexts.context_batches(lines, n_ctx, lambda i: (np.arange(1, 1501), None, None)))
+        assert sum(len(counts) for *_, counts in made) == 3000
+        assert max(context.nbytes for _, _, context, _ in made) <= 4 << 20
+        places = np.concatenate([row * 1500 + place for row, place, _, _ in made])
+        assert (places == np.arange(3000)).all()
