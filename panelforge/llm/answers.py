@@ -11,6 +11,7 @@ _CODE_HEAD = re.compile(r"^\s*(\d+)\s*[:.)\]-]\s*(?=[^\s\d])")
 _CODE_TAIL = re.compile(r"\s*[(\[](\d+)[)\]]\s*$")
 _BARE = re.compile(r"^(?:option|choix|choice|reponse|answer|no|n°|#)?\s*[#(\[]?\s*(\d{1,4})\s*[)\].:]?$")
 _EDGE = re.compile(r"^[\s\"'«»“”*_•\-–—>`.!:;,]+|[\s\"'«»“”*_`.!:;,…]+$")
+_PAUSE = re.compile(r"[,.;:]\s|\s[-–—]\s")
 _VISIBLE = re.compile(r"[^\W_]")
 #: Stand-ins for a missing answer, as folded words.
 MISSING = {"", "nan", "null", "none", "na", "n a", "nil", "undefined"}
@@ -85,7 +86,7 @@ def readings(text: str) -> list[tuple[list[str], bool]]:
             rest = bare(base.rsplit(mark, 1)[1])
             rest, _ = without_code(rest)
             out.append((words(rest), False))
-    for m in re.finditer(r"[,.;:]\s|\s[-–—]\s", base):
+    for m in _PAUSE.finditer(base):
         out.append((words(base[: m.start()]), True))
     seen, kept = set(), []
     for ws, cut in out:
@@ -123,9 +124,10 @@ def copied(ws: list[str], s: Sources) -> bool:
         return False
     if any(f" {own} " in t or t.startswith(f" {own}") for t in s.padded):
         return True
+    if len(ws) < 4:
+        return False
     share = sum(w in s.known for w in ws) / len(ws)
-    pairs = sum(g in s.grams for g in zip(ws, ws[1:])) / (len(ws) - 1)
-    if len(ws) < 4 or share < 0.5 or pairs < 0.25:
+    if share < 0.5 or sum(g in s.grams for g in zip(ws, ws[1:])) / (len(ws) - 1) < 0.25:
         return False
     if share < 1:
         known = sorted(s.known)

@@ -66,6 +66,19 @@ class Entries:
         for place, ws in self.entries:
             self.exact.setdefault("".join(ws), place)
         self.text = [(place, "".join(ws)) for place, ws in self.entries]
+        self.padded = [f" {' '.join(ws)} " for _, ws in self.entries]
+        #: by initials, the entries of three words or more that have them, with and without articles
+        self.initials: dict[str, list[tuple[int, frozenset[str]]]] = {}
+        for place, ws in self.entries:
+            for names in {ws, tuple(w for w in ws if w not in ARTICLES)}:
+                if len(names) > 2:
+                    self.initials.setdefault("".join(w[0] for w in names), []).append((place, frozenset(names)))
+        #: all of them in one text, each after a line break, and those of two words or more by their number of words
+        self.lines = "".join(f"\n{t}" for _, t in self.text)
+        self.of_size: dict[int, list[tuple[str, ...]]] = {}
+        for _, ws in self.entries:
+            if len(ws) > 1:
+                self.of_size.setdefault(len(ws), []).append(ws)
         self.most = max((len(t) * 7 // 6 + 1 for _, t in self.text), default=0)
         self.rewriters: dict[int, Rewriter] = {}
 
@@ -158,11 +171,7 @@ def nearby(word: str, vocabulary: dict[str, float], candidates: list[str]) -> di
 
 def initials(ws: list[str], e: "Entries") -> int | None:
     """The place of the only entry whose initials ws begins with, alone or before more of its words."""
-    places = set()
-    for place, entry in e.entries:
-        for names in (entry, [w for w in entry if w not in ARTICLES]):
-            if len(names) > 2 and ws[0] == "".join(w[0] for w in names) and (len(ws) == 1 or set(ws[1:]) & set(names)):
-                places.add(place)
+    places = {place for place, names in e.initials.get(ws[0], ()) if len(ws) == 1 or not names.isdisjoint(ws[1:])}
     return places.pop() if len(places) == 1 else None
 
 
@@ -171,11 +180,12 @@ def misspelt(text: str, e: "Entries") -> int | None:
     if len(text) > e.most:
         return None
     best: dict[int, int] = {}
-    own = Edits(text)
+    own = None
     for place, entry in e.text:
         k = max(1, len(entry) // 6) if len(entry) > 3 else 0
         if abs(len(entry) - len(text)) > k:
             continue
+        own = own or Edits(text)
         d = own.to(entry, k)
         if d <= k:
             best[place] = min(best.get(place, 99), d)

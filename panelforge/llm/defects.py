@@ -44,8 +44,8 @@ class Lists:
         self.of = {"EN": Entries((parse_list(options),)), "FR": Entries((parse_list(options_fr),))}
         en, fr = ({w for _, e in x.entries for w in e} for x in self.of.values())
         self.shared = en & fr
-        #: types of responses that can be told from the lists alone, of late
-        self.judged = Recent()
+        #: types of responses that can be told from the lists alone, of late, and what entries others hit
+        self.judged, self.hits = Recent(), Recent()
 
 
 lists_of = Memo(Lists, 4096)
@@ -85,11 +85,11 @@ def nearly(ws: list[str], e: Entries) -> bool:
     text = "".join(ws)
     if misspelt(text, e) is not None:
         return True
-    if any(t.startswith(text) for _, t in e.text):
+    if f"\n{text}" in e.lines:
         return False
     if initials(ws, e) is not None:
         return True
-    return any(len(ws) == len(entry) > 1 and all(shortens(a, b) for a, b in zip(ws, entry)) for _, entry in e.entries)
+    return any(all(shortens(a, b) for a, b in zip(ws, entry)) for entry in e.of_size.get(len(ws), ()))
 
 
 def _word_features(word: str, language: str) -> list[int]:
@@ -101,6 +101,7 @@ def _word_features(word: str, language: str) -> list[int]:
 word_features = Memo(_word_features, 100_000)
 
 
+mark_place = Memo(lambda language, c: place(f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}"))
 MASK = (1 << BITS) - 1
 code_of = Memo(lambda word: zlib.crc32(word.encode()), 200_000)
 places_of = Memo(lambda name, n: [place(f"{name}#{j}") for j in range(n)])
@@ -154,30 +155,60 @@ def known_words(texts: DataFrame, column: str) -> Known:
     return out
 
 
+class Reading:
+    """What the features of a pair need of its response alone."""
+
+    def __init__(self, response: str | None):
+        self.empty = is_empty(response)
+        if self.empty:
+            return
+        self.text = text = response.strip()
+        self.words = ws = words(text)
+        self.ways = readings(text)
+        self.joined = tuple(j for j in ("".join(w) for w, _ in self.ways) if len(j) > 1)
+        self.code = bare_code(bare(text)) is not None or bare_code(text) is not None
+        self.closed = text.rstrip("\"'»” )*_")[-1:] in ".!?…"
+        codes = [code_of(w) for w in ws]
+        self.codes = dict(zip(ws, codes))
+        self.pairs = [(x * 0x9E3779B1 ^ y) >> 7 & MASK for x, y in zip(codes, codes[1:])]
+        self.line = f" {' '.join(ws)} "
+        self.last = _LETTERS.findall(text.lower())[-1:] if len(ws) > 1 and not self.closed else []
+        self.marks = set() if text.isascii() else {c for c in text if ord(c) > 127}
+
+
+reading_of = Memo(Reading, 20_000)
+
+
+def hits_of(r: Reading, own: Entries, foreign: Entries) -> tuple[list[tuple[bool, bool, bool]], bool]:
+    """Whether each way of reading a response hits an entry of either list, and whether one does so plainly."""
+    hits = [(plainly(w, own), plainly(w, foreign), cut) for w, cut in r.ways]
+    plain_hit = any(a or b for a, b, _ in hits)
+    if not plain_hit:  # only then the search for misspelt ones
+        hits = [(nearly(w, own), nearly(w, foreign), cut) for w, cut in r.ways]
+    return hits, plain_hit
+
+
 def features(response: str | None, language: str, q: Question, known: Known) -> tuple[list[int], bool]:
     """Hashed n-grams of the response, most of them together with the pair's language, and pair features.
 
     The flag tells whether they come from the response and the lists alone: so for empty responses and for
     those of up to five words that are plainly an entry.
     """
-    if is_empty(response):
+    r = reading_of(response)
+    if r.empty:
         return places_of("empty", 6), True
     other = "FR" if language == "EN" else "EN"
     placed: list[int] = []
     strong = lambda name, n=5: placed.extend(places_of(name, n))
-    text = response.strip()
-    ws = words(text)
-    ways = readings(text)
+    ws, ways, code, closed = r.words, r.ways, r.code, r.closed
     own, foreign = q.lists.of[language], q.lists.of[other]
-    code = bare_code(bare(text)) is not None or bare_code(text) is not None
-    hits = [(plainly(w, own), plainly(w, foreign), cut) for w, cut in ways]
-    plain_hit = any(a or b for a, b, _ in hits)
-    if not plain_hit:  # only then the search for misspelt ones
-        hits = [(nearly(w, own), nearly(w, foreign), cut) for w, cut in ways]
+    if (response, language) not in q.lists.hits:
+        q.lists.hits.room()
+        q.lists.hits[response, language] = hits_of(r, own, foreign)
+    hits, plain_hit = q.lists.hits[response, language]
     alone = plain_hit and len(ws) < 6
     hit_own, hit_other = any(a for a, _, _ in hits), any(b for _, b, _ in hits)
     whole = any((a or b) and not cut for a, b, cut in hits)
-    closed = text.rstrip("\"'»” )*_")[-1:] in ".!?…"
     if code:
         strong("code")
     if hit_own:
@@ -186,9 +217,9 @@ def features(response: str | None, language: str, q: Question, known: Known) ->
         strong("entry:other")
     if not hit_own and not hit_other and not code:
         strong("entry:none")
-        joined = ["".join(w) for w, _ in ways]
         for e, name in ((own, "own"), (foreign, "other")):
-            if any(len(j) > 1 and t.startswith(j) and t != j for j in joined for _, t in e.text):
+            begun = [j for j in r.joined if f"\n{j}" in e.lines]
+            if begun and any(t.startswith(j) and t != j for j in begun for _, t in e.text):
                 strong(f"begins:{name}")
     if (hit_own or hit_other) and not whole:
         shortest = min(len(w) for (w, _), (a, b, _) in zip(ways, hits) if a or b)
@@ -208,32 +239,29 @@ def features(response: str | None, language: str, q: Question, known: Known) ->
     plain = [w for w in ws if w not in shared and not w.isdigit()]
     for w in plain:
         placed += word_features(w, language)
-    codes = [code_of(w) for w in ws]
-    placed += [(x * 0x9E3779B1 ^ y) >> 7 & MASK for x, y in zip(codes, codes[1:])]
-    codes, tongue = [code_of(w) for w in plain], code_of(language)
+    placed += r.pairs
+    codes, tongue = [r.codes[w] for w in plain], code_of(language)
     placed += [(x * 0x85EBCA6B ^ y ^ tongue) >> 7 & MASK for x, y in zip(codes, codes[1:])]
     if len(ws) > 2 and not hit_own and not hit_other:
-        placed.append((code_of(ws[-1]) ^ code_of(f"last:{closed}")) & MASK)
+        placed.append((r.codes[ws[-1]] ^ code_of(f"last:{closed}")) & MASK)
         if ws[-1] in FUNCTION_WORDS:
             strong(f"ends in the middle:{closed}", 3)
-    if len(ws) > 1 and not closed and (last := _LETTERS.findall(text.lower())[-1:]):
-        whole_word = known.has(last[0])
+    if r.last:
+        whole_word = known.has(r.last[0])
         size = min(len(ws), 16) // 4
         strong(f"last word known:{whole_word}:{size}:{hit_own or hit_other}", 4)
     if not alone and ws:
-        line = f" {' '.join(ws)} "
+        line = r.line
         for e, name in ((own, "own"), (foreign, "other")):
-            for _, entry in e.entries:
-                if (at := line.find(f" {' '.join(entry)} ")) >= 0:
-                    spot = "start" if not at else "end" if line[at + 1 :].count(" ") == len(entry) else "inside"
+            for padded in e.padded:
+                if (at := line.find(padded)) >= 0:
+                    spot = "start" if not at else "end" if line[at + 1 :].count(" ") == padded.count(" ") - 1 else "inside"
                     strong(f"holds:{name}:{spot}:{closed}", 4)
                     break
     shown = [w for w in ws if w not in q.lists.shared]
     for name in speaks(shown):
         strong(f"speaks:{name}:{language}", 8)
-    if not text.isascii():
-        marks = {c for c in text if ord(c) > 127}
-        placed += [place(f"{language}|mark:{c if ord(c) < 0x250 else hex(ord(c) >> 8)}") for c in marks]
+    placed += [mark_place(language, c) for c in r.marks]
     return placed, alone
 
 

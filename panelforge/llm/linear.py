@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -19,13 +20,17 @@ class Sparse:
 
     def __init__(self, rows: list[list[int]], bits: int = BITS):
         self.size = (1 << bits) + 1
-        kept = [np.unique(np.asarray(r, np.int64)) for r in rows]
-        lengths = np.array([len(r) + 1 for r in kept], np.int64)
+        n = len(rows)
+        given = np.fromiter(itertools.chain.from_iterable(rows), np.int64)
+        of_row = np.repeat(np.arange(n), np.fromiter(map(len, rows), np.int64, n))
+        entries = np.concatenate([of_row * self.size + given, np.arange(1, n + 1) * self.size - 1])
+        entries.sort()
+        entries = entries[np.append(True, entries[1:] != entries[:-1])] if n else entries
+        self.row, self.index = (entries // self.size).astype("i4"), (entries % self.size).astype("i4")
+        lengths = np.bincount(self.row, minlength=n)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        self.index = np.concatenate([np.append(r, self.size - 1) for r in kept]).astype("i4") if kept else np.zeros(0, "i4")
-        self.row = np.repeat(np.arange(len(kept), dtype="i4"), lengths)
-        self.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths) if kept else np.zeros(0, "f4")
+        self.value = np.repeat((1 / np.sqrt(lengths)).astype("f4"), lengths) if n else np.zeros(0, "f4")
 
     @classmethod
     def joined(cls, row: np.ndarray, index: np.ndarray, n: int, bits: int = BITS) -> "Sparse":

@@ -74,20 +74,21 @@ class Edits:
         if not n:
             return len(other)
         full, last = (1 << n) - 1, 1 << (n - 1)
-        up, down, same, before, dist = full, 0, 0, 0, n
+        # over: edits so far less the letters to come, each of which saves one at most
+        up, down, same, before, over, find = full, 0, 0, 0, n - len(other), self.at.get
         for c in other:
-            here = self.at.get(c, 0)
+            here = find(c, 0)
             swap = ((~same & here) << 1) & before
             same = ((((here & up) + up) ^ up) | here | down | swap) & full
             plus, minus = (down | ~(same | up)) & full, same & up
-            if plus & last:
-                dist += 1
-            elif minus & last:
-                dist -= 1
+            if not minus & last:
+                over += 2 if plus & last else 1
+                if over > k:
+                    return k + 1
             plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
             up, down = (minus | ~(same | plus)) & full, plus & same
             before = here
-        return min(dist, k + 1)
+        return over
 
 
 def damerau(a: str, b: str, k: int) -> int:
@@ -102,11 +103,13 @@ class Memo:
         self.f, self.cap, self.kept = f, cap, {}
 
     def __call__(self, *args):
-        if args not in self.kept:
+        try:
+            return self.kept[args]
+        except KeyError:
             if len(self.kept) >= self.cap:
                 self.kept.clear()
-            self.kept[args] = self.f(*args)
-        return self.kept[args]
+            self.kept[args] = found = self.f(*args)
+            return found
 
     def __getstate__(self):
         return {"f": self.f, "cap": self.cap, "kept": {}}

@@ -165,13 +165,22 @@ class Thesaurus:
 
     def __init__(self, text: str = LINES):
         self.groups = [[tuple(x.split()) for x in line.split("; ")] for line in text.strip().splitlines() if line != "="]
+        #: by first word, the places of expressions
+        self.starting: dict[str, list[tuple[int, int]]] = {}
+        for g, group in enumerate(self.groups):
+            for k, x in enumerate(group):
+                self.starting.setdefault(x[0], []).append((g, k))
 
     def within(self, vocabulary) -> "Rewriter":
         """The expressions that some words of the vocabulary can stand for."""
         by_first: dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]] = {}
-        for group in self.groups:
-            known = [x for x in group if all(w in vocabulary for w in x)]
-            for own in group if known else ():
+        there: dict[int, list[int]] = {}
+        for g, k in sorted(p for w in vocabulary for p in self.starting.get(w, ())):
+            if all(w in vocabulary for w in self.groups[g][k]):
+                there.setdefault(g, []).append(k)
+        for g, places in there.items():
+            known = [self.groups[g][k] for k in places]
+            for own in self.groups[g]:
                 if others := [x for x in known if x != own]:
                     by_first.setdefault(own[0], []).append((own, others))
         for found in by_first.values():
@@ -184,9 +193,12 @@ class Rewriter:
 
     def __init__(self, by_first: dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]]):
         self.by_first = by_first
+        self.numbered = any("#" in w for w in by_first)
 
     def __call__(self, ws: list[str]) -> list[list[str]]:
         """ws with one, or every, expression put in words of the vocabulary."""
+        if not self.numbered and self.by_first.keys().isdisjoint(ws):
+            return []
         spots, one = [], []
         for plain in (ws, [re.sub(r"\d+", "#", w) for w in ws] if any(w[0].isdigit() for w in ws) else None):
             for i, w in enumerate(plain or ()):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import answers, canonical, defects, leaks, overlap, residue
-from panelforge.llm.normal import damerau, fold, repair, words
+from panelforge.llm.normal import Edits, damerau, fold, repair, words
 
 QUESTIONS = "variable_name string, label string, question string, options string, label_fr string, question_fr string, options_fr string, split string"
 SAMPLES = "question string, sample_idx bigint, survey_language string, simulated_response string, collected_at timestamp"
@@ -262,3 +262,26 @@ def test_normal_forms():
     assert repair("QuÃ©bec Â½ Québec") == "Québec ½ Québec" and fold("Œuvre ÉTÉ ﬁ") == "oeuvre ete fi"
     assert words("L'hôpital d’Oka, Saint-Jean") == ["lhopital", "doka", "saint", "jean"] and words(None) == []
     assert damerau("teh", "the", 2) == 1 and damerau("", "abc", 5) == 3 and damerau("abc", "xyz", 1) == 2
+
+
+def test_a_response_is_read_once_for_all_questions(monkeypatch):
+    """Words, readings and hits of entries depend on the response and the lists only, not on the question."""
+    seen = {"readings": 0, "nearly": 0}
+    for name in seen:
+        plain = getattr(defects, name)
+        monkeypatch.setattr(defects, name, lambda *a, _n=name, _f=plain: (seen.__setitem__(_n, seen[_n] + 1), _f(*a))[1])
+    known, text = defects.Known(), "I would rather not discuss the matter of roads, sorry"
+    lists = ('["Very happy (1)", "Not happy at all (2)"]', '["Très content (1)", "Pas content (2)"]')
+    first = defects.features(text, "EN", defects.Question(*lists, "Roads", "How are the roads?", None, None), known)
+    once = dict(seen)
+    second = defects.features(text, "EN", defects.Question(*lists, "Snow", "Is there snow?", None, None), known)
+    assert once["readings"] == 1 and once["nearly"] > 0 and seen == once
+    assert first != second  # the questions still count
+
+
+def test_bounded_edits_equal_whole_ones():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
+        whole = Edits(a).to(b, 99)
+        assert all(Edits(a).to(b, k) == min(whole, k + 1) for k in range(6))
