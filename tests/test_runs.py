@@ -176,3 +176,22 @@ def test_batches_of_contexts_go_by_bytes():
         assert max(context.nbytes for _, _, context, _ in made) <= 4 << 20
         places = np.concatenate([row * 1500 + place for row, place, _, _ in made])
         assert (places == np.arange(3000)).all()
+
+
+def test_respondents_with_few_lines_are_taken_together(monkeypatch):
+    """Small rows are not worked off one by one, and give what a row of its own gives."""
+    rng, calls = np.random.default_rng(2), []
+    alone = contexts.first_lines
+    monkeypatch.setattr(contexts, "first_lines", lambda *a: (calls.append(1), alone(*a))[1])
+    sizes = rng.integers(2, 9, 700)
+    lines = pa.array([[{"line": f"{r}-{i}", "h": int(rng.integers(5))} for i in range(n)] for r, n in enumerate(sizes)])
+    drawn = [rng.integers(1, contexts.PRIME, n) for n in sizes]
+    got = {}
+    for row, place, context, counts in contexts.context_batches(lines, 3, lambda r: (drawn[r], np.arange(sizes[r]), np.arange(sizes[r]))):
+        got |= {(r, p): (c, n) for r, p, c, n in zip(row.tolist(), place.tolist(), context.to_pylist(), counts.tolist())}
+    assert len(got) == sizes.sum() and not calls
+    for r, n in enumerate(sizes):
+        said = lines[r].as_py()
+        for p in range(n):
+            others = [(x["line"], x["line"], x["h"]) for i, x in enumerate(said) if i != p]
+            assert got[r, p] == (by_hand(others, int(drawn[r][p]), 3), min(3, n - 1))
