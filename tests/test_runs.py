@@ -1,5 +1,7 @@
 """Contexts per target, replies of endpoints, counts and option lines."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import codebook, contexts, corpus, prepare, simulate
 from panelforge.plans import corpus_queries
-from panelforge.session import BROADCAST_BYTES, broadcast_if_small, estimated_bytes
+from panelforge.session import BROADCAST_BYTES, SHUFFLE_CLEANUP, broadcast_if_small, cut, estimated_bytes
 
 
 def rows_of(spark, n):
@@ -195,3 +197,21 @@ def test_respondents_with_few_lines_are_taken_together(monkeypatch):
         for p in range(n):
             others = [(x["line"], x["line"], x["h"]) for i, x in enumerate(said) if i != p]
             assert got[r, p] == (by_hand(others, int(drawn[r][p]), 3), min(3, n - 1))
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP), shuffled()
+    made = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(made)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    again = kept.join(made, ["k", "n"])  # what was cut is read again, and its plan still runs
+    assert kept.count() == again.count() == 7
