@@ -215,3 +215,21 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
     again = kept.join(made, ["k", "n"])  # what was cut is read again, and its plan still runs
     assert kept.count() == again.count() == 7
+
+
+def test_slices_read_the_same_blocks(spark, monkeypatch):
+    """Respondents are dealt once, however many slices the questions take: nothing is shuffled for the contexts of a slice."""
+    questions = spark.createDataFrame(
+        [(f"q{i:02d}", f"L{i}", "W?", "[]", f"F{i}", "", "[]") for i in range(20)],
+        "variable_name string, label string, question string, options string, label_fr string, question_fr string, options_fr string",
+    )
+    respondents = spark.createDataFrame([(1, "EN"), (2, "FR-CA")], "respondent_id bigint, survey_language string")
+    profiles = respondents.select("respondent_id", F.lit("").alias("profile"))
+    whole = corpus.tasks(respondents, questions, rows_of(spark, 12), profiles, 3).collect()
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", 200)
+    made = corpus.tasks(respondents, questions, rows_of(spark, 12), profiles, 3)
+    got = made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) > 2 and sum("ReusedExchange" not in x for x in dealt) == 1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
