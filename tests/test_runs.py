@@ -233,3 +233,30 @@ def test_slices_read_the_same_blocks(spark, monkeypatch):
     dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
     assert len(dealt) > 2 and sum("ReusedExchange" not in x for x in dealt) == 1
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+
+
+def test_resume_makes_no_prompt_twice(spark, monkeypatch):
+    """Done tasks are left out before prompts are made, in every slice, and the results are not shuffled."""
+    assert contexts.numbers_left({0: b"\x01\x80", 1: b"\x02\x00"}, range(1, 20)).tolist() == [*range(1, 15), 16, *range(18, 20)]
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", 2000)
+    questions = spark.createDataFrame(
+        [(name, f"L{i}", "W?", '["a","b"]', "", "", "") for i, name in enumerate([None, "q00", *[f"q{i:02d}" for i in range(20)]])],
+        "variable_name string, label string, question string, options string, label_fr string, question_fr string, options_fr string",
+    )
+    respondents = spark.createDataFrame([(1, "EN"), (2, "FR-CA")], "respondent_id bigint, survey_language string")
+    profiles = respondents.select("respondent_id", F.lit("").alias("profile"))
+    every = corpus.tasks(respondents, questions, rows_of(spark, 12), profiles, 3, once=True).collect()
+    assert len(every) == 42 and len({(r["respondent_id"], r["question"]) for r in every}) == 42
+    keys = "respondent_id bigint, question string"
+    done = [(1, None), (1, "q00"), (1, "q07"), (1, "q08"), (1, "q19"), (1, "gone"), (3, "q01")]
+    left = corpus.tasks(respondents, questions, rows_of(spark, 12), profiles, 3, once=True, done=spark.createDataFrame(done, keys)).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in every if (r["respondent_id"], r["question"]) not in done)
+    whole = [(1, r["question"]) for r in every if r["respondent_id"] == 1]
+    left = corpus.tasks(respondents, questions, rows_of(spark, 12), profiles, 3, once=True, done=spark.createDataFrame(whole, keys))
+    assert {r["respondent_id"] for r in left.collect()} == {2}
+    task = "respondent_id bigint, question string, input string, choices array<string>"
+    first, rest = ([(who, "q", "Q: x\nChoices: A / B\nR:", ["A", "B"])] for who in (1, 2))
+    before = simulate.run_tasks(spark.createDataFrame(first, task), simulate.stub_responder)
+    told = simulate.run_rest(spark.createDataFrame(rest, task), simulate.stub_responder, before)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["respondent_id"] for r in told.collect()) == [1, 2]
