@@ -142,3 +142,20 @@ def test_every_row_is_in_a_block():
     assert all(len(b) <= 200 and b["part"].nunique() == 1 for b in blocks)
     assert set(pd.concat(blocks)["id"]) == set(df["id"])
     assert sum(len(b) for b in blocks) > len(df)
+
+
+def test_groups_in_passes(spark, monkeypatch):
+    """Groups worked off one after the other give the same rows, and a large table's blocks are sent to one task each."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"v{i:04d}", rng.normal(size=8).tolist()) for i in range(600)], "name string, v array<double>")
+
+    def near():
+        return sorted(map(tuple, forest.nearest_vectors(df, "name", "v", dims=8, trees=5, candidates=60, block=200).collect()))
+
+    groups, routing = forest.group_count(600, 5, 60, 0.95, 0.73, 200)
+    assert groups > 4
+    monkeypatch.setattr(forest, "GROUPS_AT_ONCE", groups)
+    whole = near()
+    monkeypatch.setattr(forest, "GROUPS_AT_ONCE", 2)
+    assert near() == whole and {r[0] for r in whole} == {f"v{i:04d}" for i in range(600)}
+    assert forest.slice_count(48_434, 1, 0, 6) == 6 and forest.slice_count(3_400_000, 4 << 6, 6, 6) == 1
